@@ -82,9 +82,16 @@ class Words:
         #: Words before each text: text i has the words bounds[i] .. bounds[i + 1].
         self.bounds = np.searchsorted(self.starts, offsets)
         self.fold = fold
+        self._sums: tuple[np.ndarray, np.ndarray] | None = None
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
+    def hashes(self, ends: np.ndarray | None = None) -> np.ndarray:
+        """A 64-bit hash of each word, or of its bytes before `ends`."""
+        if self._sums is None:
+            self._sums = self._prefix_sums()
+        total, back = self._sums
+        return mix((total[self.ends if ends is None else ends] - total[self.starts]) * back[self.starts])
+
+    def _prefix_sums(self) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.data)
         power = np.full(n + 1, _R, U)
         power[0] = 1
@@ -96,7 +103,7 @@ class Words:
         back = np.full(n + 1, _RINV, U)
         back[0] = 1
         np.multiply.accumulate(back, out=back)
-        return mix((total[self.ends] - total[self.starts]) * back[self.starts])
+        return total, back
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.docs), np.diff(self.bounds))
@@ -140,7 +147,7 @@ def windows(h: np.ndarray, bounds: np.ndarray, size: int, short: bool) -> tuple[
     if short:
         for m in range(1, size):
             rows = np.flatnonzero(n == m)
-            acc = np.full(len(rows), U(m) * U(0xD6E8FEB86659FD93), U)
+            acc = np.full(len(rows), m * 0xD6E8FEB86659FD93 % (1 << 64), U)
             for j in range(m):
                 acc = acc * U(0x9FB21C651E98DF25) + h[bounds[rows] + j]
             out[out_bounds[rows]] = mix(acc)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, minhash, toxicity, warc
+from . import bpe, chat, decontam, minhash, quality, toxicity, warc
 from ._store import Store
 
 
@@ -40,14 +40,19 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _vocabulary_path() -> str:
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.train(docs)).select("doc_id", "quality", "good")
+
+
+def vocabulary_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = bpe.vocabulary(spark, _vocabulary_path())
+    spec = bpe.vocabulary(spark, vocabulary_path())
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     both = bpe.decode(bpe.encode(docs, spec).drop("text"), spec)
     return both.select(
@@ -81,13 +86,19 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": op2_toxicity,
         "op3_chat_format": op3_chat_format,
+        "op5_quality": op5_quality,
         "op6_bpe": op6_bpe,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_warc": op9_warc,
+        "op10_decontamination": op10_decontamination,
     }
 
 

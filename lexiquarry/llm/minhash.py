@@ -17,7 +17,8 @@ Large groups never become all their pairs:
 3. Buckets that this leaves in one component are done. In the others, pairs
    of different components are compared by their sketches in blocks of
    bounded size; pairs whose estimate is over six standard errors below the
-   threshold are left, and the rest are confirmed on the full sets.
+   threshold are left, and the rest are confirmed on the full sets. Pairs stay
+   inside the task; it gives out the links that join components.
 4. Components come from confirmed links.
 """
 
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._kernel import NON_SPACE, U, Words, blocks, buffers, distinct, mix, windows
@@ -59,6 +60,8 @@ class MinMax:
 
 #: Members of a bucket that one task compares with one another.
 BLOCK = 2000
+#: Shingles of the members whose full sets one task compares with one another.
+BLOCK_SHINGLES = 1_000_000
 
 
 def shingle_sets(batch: pa.RecordBatch, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,44 +165,99 @@ def _confirm(pairs: DataFrame, texts: DataFrame, p: MinMax) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, inter long, total long")
 
 
-def _across(members: DataFrame, p: MinMax) -> DataFrame:
-    """Pairs of one bucket in different components whose sketches leave a link possible.
+def _block_pairs(t: pa.Table, p: MinMax, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js): the rows that row i of a bucket's two blocks must be compared with.
 
-    members: key, size, id, n, component, leader, sketch. A bucket larger than
-    BLOCK is compared block by block, each pair of blocks in its own group.
+    They are in another component, of a fit size and with sketches that leave a
+    link possible. A pair that shares several buckets counts in the first of
+    them only, and pairs with the bucket's leader are confirmed already.
+    """
+    ids, n, comp, block = (np.asarray(t.column(c)) for c in ("id", "n", "component", "block"))
+    key, leader, lo, hi = (t.column(c)[0].as_py() for c in ("key", "leader", "lo", "hi"))
+    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(ids), 2 * p.hashes)
+    bands = np.asarray(t.column("bands").combine_chunks().flatten()).reshape(len(ids), p.bands)
+    band = int(np.flatnonzero(bands[0] == key)[0])
+    others = np.flatnonzero((block == hi) & (ids != leader))
+    for i in np.flatnonzero((block == lo) & (ids != leader)).tolist():
+        j = others[others > i] if lo == hi else others
+        j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= p.percent * np.maximum(n[j], n[i]))]
+        if len(j):
+            j = j[(sketch[j] == sketch[i]).sum(1) >= least]
+            j = j[~(bands[j, :band] == bands[i, :band]).any(1)]
+            if len(j):
+                yield i, j
+
+
+def _dealt(members: DataFrame, parts: Column) -> DataFrame:
+    """Buckets in `parts` blocks, one group (key, lo, hi) for each pair of blocks, sorted by group."""
+    out = members.withColumn("parts", parts.cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    out = out.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("parts", "other")
+    return out.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
+
+
+def _across(members: DataFrame, texts: DataFrame, p: MinMax, store: Store) -> DataFrame:
+    """Links (a, b) between different components of one bucket, enough of them to join what belongs together.
+
+    members: key, size, id, n, component, leader, sketch, bands. First the
+    members that have a possible link at all are found by their sketches; then
+    these bring their texts, and the pairs are confirmed on the full sets.
+    Neither step gives out pairs: a group names its members, then no more links
+    than it has members.
     """
     s = p.percent / 100
-    values = 2 * p.hashes
     # A byte also matches by chance; six standard errors under the expected matches at the threshold.
     expected = s + (1 - s) / 256
-    least = int(values * (expected - 6 * (expected * (1 - expected) / values) ** 0.5))
+    least = int(2 * p.hashes * (expected - 6 * (expected * (1 - expected) / (2 * p.hashes)) ** 0.5))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, ["key", "lo", "hi"]):
+            touched = np.zeros(t.num_rows, bool)
+            for i, j in _block_pairs(t, p, least):
+                touched[i] = True
+                touched[j] = True
+            if touched.any():
+                yield from t.select(["key", "id"]).filter(pa.array(touched)).combine_chunks().to_batches()
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
         for t in grouped(batches, ["key", "lo", "hi"]):
-            ids, n, comp, block = (np.asarray(t.column(c)) for c in ("id", "n", "component", "block"))
-            leader, lo, hi = t.column("leader")[0].as_py(), t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(ids), values)
-            rows = np.flatnonzero((block == lo) & (ids != leader))
-            others = np.flatnonzero((block == hi) & (ids != leader))
-            found_a, found_b = [], []
-            for i in rows.tolist():
-                j = others[comp[others] != comp[i]]
-                if lo == hi:
-                    j = j[j > i]
-                j = j[(100 * np.minimum(n[j], n[i]) >= p.percent * np.maximum(n[j], n[i]))]
-                if len(j):
-                    j = j[(sketch[j] == sketch[i]).sum(1) >= least]
-                    found_a.append(np.minimum(ids[i], ids[j]))
-                    found_b.append(np.maximum(ids[i], ids[j]))
-            if found_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
-
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = members.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "component", "leader", "sketch")
-    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+            ids = np.asarray(t.column("id"))
+            sets, bounds = shingle_sets(t.select(["text"]).combine_chunks().to_batches()[0], "text", p.shingle)
+            size = np.diff(bounds)
+            root = {int(c): int(c) for c in np.asarray(t.column("component"))}
+            comp = np.asarray(t.column("component"))
+
+            def top(c: int) -> int:
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            found = []
+            for i, j in _block_pairs(t, p, least):
+                own = top(int(comp[i]))
+                j = j[np.array([top(int(c)) != own for c in comp[j]])]
+                if not len(j):
+                    continue
+                mine = sets[bounds[i] : bounds[i + 1]]
+                theirs = np.concatenate([sets[bounds[k] : bounds[k + 1]] for k in j.tolist()])
+                at = np.searchsorted(mine, theirs)
+                at[at == len(mine)] = 0
+                inter = np.add.reduceat((mine[at] == theirs).astype(np.int64), np.concatenate([[0], np.cumsum(size[j])[:-1]]))
+                for k in j[100 * inter >= p.percent * (size[i] + size[j] - inter)].tolist():
+                    x, y = top(int(comp[i])), top(int(comp[k]))
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        found.append((int(ids[i]), int(ids[k])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found]), pa.array([b for _, b in found])], names=["a", "b"])
+
+    flagged = _dealt(members, F.ceil(F.col("size") / BLOCK)).mapInArrow(possible, "key long, id long").distinct()
+    rows = store.table(members.join(flagged, ["key", "id"], "left_semi"), "possible")
+    shingles = rows.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
+    rows = rows.join(shingles, "key").join(texts, "id")
+    return _dealt(rows, F.col("parts")).mapInArrow(confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, p: MinMax = MinMax(), id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -239,8 +297,8 @@ def near_duplicates(docs: DataFrame, p: MinMax = MinMax(), id: str = "doc_id", t
     found = store.table(components(first, store), "components")
     placed = led.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = placed.where("size > 2").groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    still = placed.join(open_keys, "key", "left_semi").join(reps.select("id", "n", "sketch"), "id")
-    more = store.table(_confirm(_across(still, p), texts, p).where(is_link).select("a", "b"), "more-links")
+    still = placed.join(open_keys, "key", "left_semi").join(reps.select("id", "n", "sketch", "bands"), "id")
+    more = store.table(_across(still, texts, p, store), "more-links")
     # The first components stand for their links: stars hold the same reachability.
     every = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), store)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, minhash, quality, toxicity, warc
+from . import ann, bpe, chat, decontam, lm, minhash, quality, toxicity, warc
 from ._store import Store
 
 
@@ -40,6 +40,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.score(docs, quality.train(docs)).select("doc_id", "quality", "good")
@@ -63,6 +67,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    target = lm.train(docs.join(good, "doc_id", "left_semi"))
+    scored = lm.score(docs, target, lm.train(docs))
+    return scored.select("doc_id", "n_words", "target_loss", "background_loss", "difference")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -94,8 +106,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": op2_toxicity,
         "op3_chat_format": op3_chat_format,
+        "op4_nearest_neighbours": op4_nearest_neighbours,
         "op5_quality": op5_quality,
         "op6_bpe": op6_bpe,
+        "op7_lm_scores": op7_lm_scores,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_warc": op9_warc,
         "op10_decontamination": op10_decontamination,

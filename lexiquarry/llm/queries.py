@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontam, lm, minhash, quality, toxicity, warc
+from . import ann, bpe, chat, decontam, licenses, lm, minhash, quality, toxicity, warc
 from ._store import Store
 
 
@@ -15,6 +15,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan(docs, licenses.train(docs))
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_paragraphs"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["family"]))), ",").alias("families"),
+        F.array_join(F.transform("licenses", lambda x: x["paragraph"].cast("string")), ",").alias("paragraphs"),
+    )
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -104,6 +115,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licenses": op1_licenses,
         "op2_toxicity": op2_toxicity,
         "op3_chat_format": op3_chat_format,
         "op4_nearest_neighbours": op4_nearest_neighbours,

@@ -330,8 +330,8 @@ def alignment_audit(spark, sf_dir):
 
 
 @query(r"""WITH p AS (SELECT doc_id, n_chars // 2 AS hint, string_split(lower(text), 'the') AS x FROM documents),
-o AS (SELECT doc_id, hint, list_sum(list_transform(x[1:k], lambda s: length(s))) + 3 * (k - 1) AS at FROM (SELECT doc_id, hint, x, unnest(range(1, len(x))) AS k FROM p))
-SELECT doc_id, arg_min(at, (abs(at - hint), at))::INT AS start FROM o GROUP BY doc_id""")
+o AS (SELECT doc_id, hint, list_sum(list_transform(x[1:k], lambda s: length(s))) + 3 * (k - 1) AS pos FROM (SELECT doc_id, hint, x, unnest(range(1, len(x))) AS k FROM p))
+SELECT doc_id, arg_min(pos, (abs(pos - hint), pos))::INT AS start FROM o GROUP BY doc_id""")
 def nearest_occurrence(spark, sf_dir):
     """The "the" nearest to each document's middle."""
     rows = table(spark, sf_dir, "documents")
@@ -351,7 +351,7 @@ def check_then_search(spark, sf_dir):
 @query(rf"""WITH {ANN}, j AS (SELECT a.text AS g, b.text AS p FROM a JOIN b ON a.doc_id = b.doc_id AND a.ord = b.ord),
 w AS (SELECT regexp_extract_all(g, '\S+') AS x, regexp_extract_all(p, '\S+') AS y FROM j),
 u AS (SELECT x, y, list_distinct(list_concat(x, y)) AS d FROM w),
-k AS (SELECT len(x) AS n, levenshtein(array_to_string(list_transform(x, lambda v: chr((19968 + list_position(d, v))::INT)), ''), array_to_string(list_transform(y, lambda v: chr((19968 + list_position(d, v))::INT)), '')) AS e FROM u)
+k AS (SELECT len(x) AS n, levenshtein(array_to_string(list_transform(x, lambda v: chr((64 + list_position(d, v))::INT)), ''), array_to_string(list_transform(y, lambda v: chr((64 + list_position(d, v))::INT)), '')) AS e FROM u)
 SELECT count(*) AS pairs, sum(e) AS errors, avg(greatest(0, 1 - e / n)) AS mean_score FROM k""")
 def word_error_score(spark, sf_dir):
     a, b = annotated(spark, sf_dir)
@@ -521,7 +521,7 @@ def false_positives(spark, sf_dir):
     return _lines(spark, sf_dir).where(X.is_false_positive(F.col("q"))).groupBy("q").agg(F.count("*").alias("n"))
 
 
-@query(rf"""WITH {ANN}, x AS (SELECT doc_id, json_group_array(json_object('text', text, 'type', type) ORDER BY ord) AS j, count(*) AS n FROM b GROUP BY doc_id)
+@query(rf"""WITH {ANN}, x AS (SELECT doc_id, count(*) AS n FROM b GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n FROM documents d LEFT JOIN x USING (doc_id)""")
 def entity_json(spark, sf_dir):
     """The JSON sink's rows, read back."""

@@ -22,10 +22,22 @@ def numeric_stem(name: Column, other: int = 9999) -> Column:
 
 def text_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """(stem, doc_id, path, text): each .txt file is a document; doc_id is null for stems that are no number."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt")
-    rows = (reader.option("recursiveFileLookup", True) if recursive else reader).text(path)
-    name = F.col("_metadata.file_path")
-    return rows.select(stem(name).alias("stem"), stem(name).try_cast("long").alias("doc_id"), name.alias("path"), F.col("value").alias("text"))
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt")
+    rows = (reader.option("recursiveFileLookup", True) if recursive else reader).load(path).select("path", F.col("content").cast("string").alias("text"))
+    rows = rows.union(spark.createDataFrame([(p, "") for p in _empty_files(spark, path, ".txt", recursive)], "path string, text string"))
+    return rows.select(stem(F.col("path")).alias("stem"), stem(F.col("path")).try_cast("long").alias("doc_id"), "path", "text")
+
+
+def _empty_files(spark: SparkSession, path: str, suffix: str, recursive: bool) -> list[str]:
+    """Files without content, which the binary reader passes over; found by listing names and lengths, as every scan does."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, recursive)
+    out = []
+    while found.hasNext():
+        f = found.next()
+        if f.getLen() == 0 and f.getPath().getName().endswith(suffix):
+            out.append(f.getPath().toString())
+    return sorted(out)
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -46,8 +58,8 @@ def entity_files(spark: SparkSession, path: str, docs: DataFrame | None = None)
     An unreadable file and, with `docs`, a document without a file have no
     rows of their own. doc_id comes from the file's stem, ord is the place in the array.
     """
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
-    rows = rows.select(stem(F.col("_metadata.file_path")).alias("stem"), F.from_json("value", ENTITY_JSON).alias("es")).where("stem <> 'stats'")
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
+    rows = rows.select(stem(F.col("path")).alias("stem"), F.from_json(F.col("content").cast("string"), ENTITY_JSON).alias("es")).where("stem <> 'stats'")
     flat = rows.select(F.col("stem").try_cast("long").alias("doc_id"), "stem", F.posexplode_outer("es").alias("ord", "e"))
     none = F.array().cast("array<string>")
     out = flat.where("e is not null").select(

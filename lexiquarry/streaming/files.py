@@ -13,9 +13,10 @@ from ..sources.readers import stem
 
 def read_texts(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
     """(stem, doc_id, text) of .txt files as they arrive."""
-    reader = spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.txt").option("maxFilesPerTrigger", per_trigger)
-    name = stem(F.col("_metadata.file_path"))
-    return reader.text(path).select(name.alias("stem"), name.try_cast("long").alias("doc_id"), F.col("value").alias("text"))
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    reader = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.txt").option("maxFilesPerTrigger", per_trigger)
+    name = stem(F.col("path"))
+    return reader.load(path).select(name.alias("stem"), name.try_cast("long").alias("doc_id"), F.col("content").cast("string").alias("text"))
 
 
 def run(docs: DataFrame, process: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = True) -> StreamingQuery:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from .spans import _listed, iou, with_lists
+from .spans import _listed, best_partner, spans_of, with_lists
 
 
 def pairs(gold: DataFrame, pred: DataFrame, least: float = 0.5, id: str = "doc_id") -> DataFrame:
@@ -16,11 +16,9 @@ def pairs(gold: DataFrame, pred: DataFrame, least: float = 0.5, id: str = "doc_i
     both = xs.join(ys, id, "full").select(id, *(F.coalesce(F.col(c).cast(kind), F.array().cast(kind)).alias(c) for c in ("xs", "ys")))
 
     def step(acc: Column, x: Column) -> Column:
-        scored = F.transform(F.col("ys"), lambda y, i: F.struct(iou(x["start"], x["end"], y["start"], y["end"]).alias("s"), (-i).alias("first"), y["type"].alias("t")))
-        fits = F.filter(scored, lambda s: (s["t"] == x["type"]) & (s["s"] >= least) & ~F.array_contains(acc, -s["first"]))
-        place = (-F.array_max(F.transform(fits, lambda s: F.struct(s["s"], s["first"])))["first"]).cast("int")
-        return F.concat(acc, F.array(F.coalesce(place, F.lit(-1))))
+        return F.concat(acc, F.array(F.coalesce(best_partner(x, F.col("_ys"), acc, least), F.lit(-1))))
 
+    both = both.withColumn("_ys", spans_of("ys"))
     both = both.withColumn("pick", F.aggregate("xs", F.array().cast("array<int>"), step))
     zipped = F.zip_with("xs", "pick", lambda x, p: F.struct(x.alias("gold"), F.when(p >= 0, F.get(F.col("ys"), p)).alias("pred")))
     free = F.filter(F.transform("ys", lambda y, i: F.struct(y.alias("y"), i.alias("i"))), lambda z: ~F.array_contains(F.col("pick"), z["i"]))

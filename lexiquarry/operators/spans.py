@@ -247,6 +247,18 @@ def with_lists(entities: DataFrame) -> DataFrame:
     return entities
 
 
+def spans_of(entities: str) -> Column:
+    """The places, spans and types of an entity list, for `best_partner`."""
+    return F.transform(entities, lambda y, i: F.struct(i.alias("i"), y["start"].alias("start"), y["end"].alias("end"), y["type"].alias("type")))
+
+
+def best_partner(x: Column, ys: Column, used: Column, least: float) -> Column:
+    """The place of the free y of x's type with the largest IoU of at least `least`, the first of equals; null without one."""
+    near = F.filter(ys, lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"]) & (y["type"] == x["type"]) & ~F.array_contains(used, y["i"]))
+    scored = F.transform(near, lambda y: F.struct(iou(x["start"], x["end"], y["start"], y["end"]).alias("iou"), (-y["i"]).alias("first")))
+    return (-F.array_max(F.filter(scored, lambda z: z["iou"] >= least))["first"]).cast("int")
+
+
 def merge(a: DataFrame, b: DataFrame, least: float = 0.5, reset_b: bool = False, id: str = "doc_id") -> DataFrame:
     """Two annotators' entities as one list: (doc_id, ord, FIELDS, origin).
 
@@ -265,13 +277,10 @@ def merge(a: DataFrame, b: DataFrame, least: float = 0.5, reset_b: bool = False,
     begin = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<int>").alias("pick"))
 
     def step(acc: Column, x: Column) -> Column:
-        # place 1.. of the best free partner, null without one
-        scored = F.transform(F.col("ys"), lambda y, i: F.struct(iou(x["start"], x["end"], y["start"], y["end"]).alias("iou"), (-i).alias("first"), y["type"].alias("type")))
-        fits = F.filter(scored, lambda s: (s["type"] == x["type"]) & (s["iou"] >= least) & ~F.array_contains(acc["used"], -s["first"]))
-        best = F.array_max(F.transform(fits, lambda s: F.struct(s["iou"], s["first"])))
-        place = (-best["first"]).cast("int")
+        place = best_partner(x, F.col("_ys"), acc["used"], least)
         return F.struct(F.when(place.isNotNull(), F.concat(acc["used"], F.array(place))).otherwise(acc["used"]).alias("used"), F.concat(acc["pick"], F.array(place)).alias("pick"))
 
+    both = both.withColumn("_ys", spans_of("ys"))
     both = both.withColumn("m", F.aggregate("xs", begin, step))
     none = F.array().cast("array<string>")
 

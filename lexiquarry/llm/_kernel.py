@@ -9,12 +9,17 @@ bytes, so results do not depend on batches, partitions or retries.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
 U = np.uint64
 #: Bytes of text handled at once; bounds the temporaries of a kernel.
 BLOCK_BYTES = 1 << 20
@@ -42,6 +47,14 @@ def blocks(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES) -> Iterat
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
         yield batch.slice(at, to - at)
         at = to
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers are kept for later stages, and their executor's limit counts what they hold."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._kernel import blocks
+from ._kernel import blocks, release
 
-#: Words and pairs whose results a worker remembers at most; beyond, it starts afresh.
-REMEMBERED = 600_000
+#: Words, and pairs, whose results a worker remembers in each of two generations; the older one goes when the newer is full.
+REMEMBERED = 60_000
 #: The word pattern of byte-level BPE vocabularies.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -43,11 +43,16 @@ class _Remember(dict):
     def __init__(self, make):
         super().__init__()
         self.make = make
+        self.older: dict = {}
 
     def __missing__(self, key):
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        self[key] = out = self.make(key)
+        self[key] = out
         return out
 
 
@@ -86,12 +91,6 @@ class Codec:
         self.word = _Remember(self._word)
         self.words = regex.compile(WORD).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        blob = [s.encode("latin-1") for s in self.text]
-        for s, i in self.added.items():
-            blob[i] = s.encode()
-        self.lengths = np.array([len(b) for b in blob], np.int64)
-        self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
-        self.blob = np.frombuffer(b"".join(blob), np.uint8)
 
     def _shorter(self, i: int) -> int:
         """The longest entry that is a proper prefix of entry i, or -1."""
@@ -161,6 +160,20 @@ class Codec:
                 out.extend(chain.from_iterable(map(self.word.__getitem__, self.words(part))))
         return out
 
+
+class Decoder:
+    """The offset table of a vocabulary: where each entry's bytes are in one blob. It needs none of the encoder's tables."""
+
+    def __init__(self, spec: str):
+        file = json.loads(spec)
+        raw = {letter: bytes([b]) for b, letter in enumerate(byte_letters())}
+        entries = {i: b"".join(raw[c] for c in entry) for entry, i in file["model"]["vocab"].items()}
+        entries |= {t["id"]: t["content"].encode() for t in file.get("added_tokens") or []}
+        blob = [entries.get(i, b"") for i in range(max(entries) + 1)]
+        self.lengths = np.array([len(b) for b in blob], np.int64)
+        self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.blob = np.frombuffer(b"".join(blob), np.uint8)
+
     def gather(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all entries in a row, where each entry ends)."""
         n = self.lengths[ids]
@@ -170,16 +183,14 @@ class Codec:
         return self.blob[at], ends
 
 
-_codecs: dict[int, Codec] = {}
+_made: dict[type, tuple[int, Codec | Decoder]] = {}
 
 
-def _codec(spec: str) -> Codec:
-    """One per worker process and vocabulary."""
-    key = hash(spec)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(spec)
-    return _codecs[key]
+def _own(kind: type, spec: str) -> Codec | Decoder:
+    """The worker process' own encoder or decoder of a vocabulary."""
+    if kind not in _made or _made[kind][0] != hash(spec):
+        _made[kind] = (hash(spec), kind(spec))
+    return _made[kind][1]
 
 
 def vocabulary(spark: SparkSession, path: str):
@@ -197,9 +208,9 @@ def encode(docs: DataFrame, spec, text: str = "text", ids: str = "ids") -> DataF
     kept = [c for c in docs.columns if c != ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(spec.value)
+        codec = _own(Codec, spec.value)
         for batch in batches:
-            for part in blocks(batch, text, 4 << 20):
+            for part in blocks(batch, text):
                 found = [codec.encode(t) if t else () for t in part.column(text).to_pylist()]
                 ends = np.zeros(len(found) + 1, np.int32)
                 np.cumsum([len(x) for x in found], out=ends[1:])
@@ -216,18 +227,19 @@ def decode(df: DataFrame, spec, ids: str = "ids", out: str = "decoded") -> DataF
     kept = [c for c in df.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(spec.value)
+        decoder = _own(Decoder, spec.value)
         for batch in batches:
-            rows = max(1, int(batch.num_rows * (1 << 22) / max(batch.nbytes, 1)))
+            rows = max(1, int(batch.num_rows * (1 << 20) / max(batch.nbytes, 1)))
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 column = part.column(ids)
                 n = np.asarray(column.value_lengths().fill_null(0), np.int64)
-                data, ends = codec.gather(np.asarray(column.flatten(), np.int64))
+                data, ends = decoder.gather(np.asarray(column.flatten(), np.int64))
                 last = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
                 raw = data.tobytes()
                 texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(last[:-1].tolist(), last[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, out])
+            release()
 
     plain = df.select(*(F.col(f"`{c}`") for c in kept))
     return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField(out, T.StringType())]))

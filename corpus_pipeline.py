@@ -44,9 +44,10 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
     spec = bpe.vocabulary(spark, vocabulary_path())
-    both = bpe.decode(bpe.encode(docs, spec), spec)
-    whole = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), whole.alias("round_trip"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    coded = bpe.encode(docs.select("doc_id", "text", "lang", "source"), spec).withColumn("digest", digest).drop("text")
+    both = bpe.decode(coded, spec)
+    return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.sha2("decoded", 256) == F.col("digest")).alias("round_trip"))
 
 
 STAGES = [

@@ -80,8 +80,8 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
-    target = lm.train(docs.join(good, "doc_id", "left_semi"))
+    # The target is what the quality classifier accepts: a filter at the scan, so no text is shuffled to its label.
+    target = lm.train(quality.score(docs, quality.train(docs)).where("good"))
     scored = lm.score(docs, target, lm.train(docs))
     return scored.select("doc_id", "n_words", "target_loss", "background_loss", "difference")
 

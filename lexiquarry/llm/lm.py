@@ -80,9 +80,10 @@ def train(docs: DataFrame, s: Shape = Shape(), text: str = "text") -> Model:
     """A model of all texts of `docs`; the driver gets no more cells than `s` has."""
     store = Store(docs.sparkSession, "lm")
     table = store.table(counts(docs, s, text), "counts")
-    found = table.toPandas()
+    found = table.toArrow()
     full = np.zeros((1 << s.word_bits) + (1 << s.pair_bits))
     full[found["cell"].to_numpy()] = found["n"].to_numpy()
+    del found
     store.drop(table)
     return Model(full[: 1 << s.word_bits], full[1 << s.word_bits :])
 

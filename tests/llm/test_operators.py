@@ -197,3 +197,23 @@ def test_licenses(spark):
     model = licenses.train(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
     got = {r["doc_id"]: [(x["paragraph"], x["family"]) for x in r["licenses"]] for r in licenses.scan(docs, model).collect()}
     assert got == {1: [(1, "MIT")], 2: [(0, "Apache-2.0")], 3: [], 4: [], 5: []}
+
+
+def test_lm_counts_are_exact(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in rng.integers(0, 400_000, 200_000)]
+    texts = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    n, pairs = {}, {}
+    for i, w in enumerate(words):
+        n[w] = n.get(w, 0) + 1
+        if i % 1000:
+            pairs[words[i - 1], w] = pairs.get((words[i - 1], w), 0) + 1
+    model, few = lm.train(docs), lm.train(docs.where("doc_id < 10"))
+    got = {r["doc_id"]: r for r in lm.score(docs, few, model).collect()}
+    assert len(got) == len(texts)
+    for d in (0, 77, 199):
+        own = words[1000 * d : 1000 * d + 1000]
+        p = [(n[w] + 0.5) / (len(words) + 0.5 * (1 << 18)) for w in own]
+        want = [-np.log(p[0]), *(-np.log(0.3 * p[i] + 0.7 * pairs[own[i - 1], own[i]] / n[own[i - 1]]) for i in range(1, 1000))]
+        assert abs(got[d]["background_loss"] - np.mean(want)) < 1e-9

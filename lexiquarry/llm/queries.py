@@ -80,9 +80,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    # The target is what the quality classifier accepts: a filter at the scan, so no text is shuffled to its label.
-    target = lm.train(quality.score(docs, quality.train(docs)).where("good"))
-    scored = lm.score(docs, target, lm.train(docs))
+    good = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id").distinct().withColumn("good", F.lit(True))
+    # Always one shuffle of the texts to their labels: labels grow with the corpus, so a broadcast has no bound.
+    both = docs.join(good.hint("shuffle_hash"), "doc_id", "left")
+    scored = lm.score(both, lm.train(both, where=F.col("good")), lm.train(both))
     return scored.select("doc_id", "n_words", "target_loss", "background_loss", "difference")
 
 

@@ -217,3 +217,12 @@ def test_lm_counts_are_exact(spark):
         p = [(n[w] + 0.5) / (len(words) + 0.5 * (1 << 18)) for w in own]
         want = [-np.log(p[0]), *(-np.log(0.3 * p[i] + 0.7 * pairs[own[i - 1], own[i]] / n[own[i - 1]]) for i in range(1, 1000))]
         assert abs(got[d]["background_loss"] - np.mean(want)) < 1e-9
+
+
+def test_lm_target_is_labelled_clean(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    clean = [r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 and toxic = 0").collect()]
+    want = {r["doc_id"]: r["target_loss"] for r in lm.score(docs, lm.train(docs.where(F.col("doc_id").isin(clean))), lm.train(docs)).collect()}
+    got = {r["doc_id"]: r["target_loss"] for r in queries.op7_lm_scores(spark, SF).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[d] is want[d] or abs(got[d] - want[d]) < 1e-9 for d in want)

@@ -1,8 +1,8 @@
 """Benchmark decontamination by template windows.
 
-Every word becomes a template word: a number, a unit after a number, or a
-name (capitalised inside a sentence) becomes a typed placeholder, any other
-word stays, lower-cased. Windows of template words of the documents are
+Words become template words: a number, a unit after a number, or a run of
+names becomes a typed placeholder, any other word stays, lower-cased. What is
+a name depends on the reading (see `Template`). Windows of template words of the documents are
 hash-joined with those of the benchmark. A document holds an item if aligned
 windows cover enough of it and the slots are consistent: each value of the
 item corresponds to one value in the document and the other way round, so a
@@ -20,10 +20,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._kernel import ALNUM, U, Words, blocks, buffers, windows
+from ._kernel import ALNUM, U, Words, blocks, buffers, mix, windows
 from ._store import Store
 
 WINDOW = 8
+#: Neighbouring shifts whose windows add up.
+BAND = 4
 #: Benchmark windows up to which workers get them all; beyond, only a bitmap of fixed size, and the join settles the rest.
 EXACT_WINDOWS = 2_000_000
 #: Bits of the bitmap of benchmark windows.
@@ -35,6 +37,7 @@ UNITS = (
     "degrees celsius fahrenheit k c f kmh mph n pa kpa bar mol cal kcal"
 )
 NUMBER, UNIT, NAME = U(0x6A09E667F3BCC909), U(0xBB67AE8584CAA73B), U(0x3C6EF372FE94F82B)
+KINDS = np.array([NUMBER, UNIT, NAME])
 _DIGIT = np.zeros(256, bool)
 _DIGIT[0x30:0x3A] = True
 _UPPER = np.zeros(256, bool)
@@ -43,14 +46,16 @@ _LATIN_UPPER = np.zeros(256, bool)  # second byte of U+00C0 .. U+00DE
 _LATIN_UPPER[0x80:0x9F] = True
 _STOP = np.zeros(256, bool)
 _STOP[[0x0A, 0x0D, 0x21, 0x2E, 0x3A, 0x3F]] = True
+_SEPARATOR = np.zeros(256, bool)
+_SEPARATOR[[0x2C, 0x2E]] = True
 
 
-def _units() -> np.ndarray:
-    raw = UNITS.encode()
+def _hashes(words: str) -> np.ndarray:
+    raw = words.encode()
     return np.unique(Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALNUM).hashes())
 
 
-_UNIT_HASHES = _units()
+_UNIT_HASHES = _hashes(UNITS)
 
 
 def _upper_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -60,68 +65,131 @@ def _upper_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (at < len(data)) & (_UPPER[data[safe]] | ((data[safe] == 0xC3) & _LATIN_UPPER[data[after]]))
 
 
-def template(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
-    """(words, template hashes, slot values): a slot's value is the hash of its lower-cased word, 0 for a plain word.
+#: Words that open sentences and are no names.
+OPENERS = (
+    "a an the this that these those he she it they we i you his her its their our my your who what when where which why how if in on at for from to of by with as "
+    "and but or so then there here is are was were be do does did can could will would should may let given each every all some any no not one two three after before "
+    "during while since until once suppose assume consider find calculate compute determine write explain describe show prove solve"
+)
+
+_OPENER_HASHES = _hashes(OPENERS)
+
 
-    A word in capitals throughout is no name, so a text set in capitals has
-    the template of the same text in plain case.
+class Template:
+    """The template words of a block of texts, in one of three readings.
+
+    0: a title-case word is a name, at the start of a sentence also unless it
+    is a common opener; 1: a name only inside a sentence; 2: no word is a name
+    (for texts whose case tells nothing). A run of names, and a number with
+    separators, is one template word. A slot's value is the hash of its
+    lower-cased words.
     """
+
+    def __init__(self, h: np.ndarray, t: np.ndarray, joined: np.ndarray, title: np.ndarray, bounds: np.ndarray):
+        first = np.flatnonzero(~joined)  # the first word of each template word
+        run = np.cumsum(~joined) - 1
+        depth = np.arange(len(h)) - first[run] if len(h) else run
+        value = h.copy()
+        if joined.any():
+            np.add.at(value := h * 0, run, mix(h + depth.astype(U) * U(0x9E3779B97F4A7C15)))
+            value = np.where(np.bincount(run, minlength=len(first)) > 1, value[: len(first)], h[first])
+        self.words, self.hashes, self.values = first, t[first], value
+        self.slots = np.where(np.isin(self.hashes, KINDS), value, U(0))
+        self.titles = np.concatenate([[0], np.cumsum(np.add.reduceat(title.astype(np.int64), first) if len(first) else np.zeros(0, np.int64))])
+        self.bounds = np.searchsorted(first, bounds)
+        self.origin = bounds[:-1]
+
+
+def templates(column: pa.Array) -> list[Template]:
+    """The three readings of the texts."""
     text = pc.fill_null(column, "")
     data, offsets = buffers(text)
     words = Words(data, offsets, ALNUM)
     h = Words(*buffers(pc.utf8_lower(text)), ALNUM).hashes()
     n = len(h)
     if not n:
-        return words, h, h
-    opens = np.zeros(n, bool)  # first word of a text or sentence
-    opens[words.bounds[:-1][words.bounds[:-1] < words.bounds[1:]]] = True
+        off = np.zeros(0, bool)
+        return [Template(h, h, off, off, words.bounds) for _ in range(3)]
+    starts = np.zeros(n, bool)  # first word of a text
+    starts[words.bounds[:-1][words.bounds[:-1] < words.bounds[1:]]] = True
     stops = np.concatenate([[0], np.cumsum(_STOP[data])])
+    opens = starts.copy()
     opens[1:] |= stops[words.starts[1:]] > stops[words.ends[:-1]]
     number = _DIGIT[data[words.starts]]
+    more = np.zeros(n, bool)  # goes on with the number before
+    opens &= ~more
     unit = np.isin(h, _UNIT_HASHES)
     unit[1:] &= number[:-1] & ~opens[1:]
     unit[0] = False
     second = words.starts + np.where(data[words.starts] < 0x80, 1, 2)
-    name = _upper_at(data, words.starts) & (second < words.ends) & ~_upper_at(data, second) & ~opens & ~unit & ~number
-    t = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, h)))
-    return words, t, np.where(number | unit | name, h, U(0))
+    title = _upper_at(data, words.starts) & (second < words.ends) & ~_upper_at(data, second) & ~unit & ~number
+    out = []
+    for name in (title & ~(opens & np.isin(h, _OPENER_HASHES)), title & ~opens, np.zeros(n, bool)):
+        t = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, h)))
+        joined = more.copy()
+        out.append(Template(h, t, joined, title & ~opens, words.bounds))
+    return out
 
 
-def _windows(rows: DataFrame, size: int, wanted=None) -> DataFrame:
-    """(id, key, pos, total, slots) of each window of the rows (id, text), or of those that may be wanted."""
+def item_size(n: np.ndarray, size: int) -> np.ndarray:
+    """Words of an item's windows: all of a short item."""
+    return np.minimum(n, size)
+
+
+def _key(h: np.ndarray, reading: int, size: int) -> np.ndarray:
+    return mix(h + U((reading * 64 + size) * 0xD6E8FEB86659FD93 % (1 << 64)))
+
+
+def _windows(rows: DataFrame, size: int, sizes: list[int] | None = None, wanted=None) -> DataFrame:
+    """(id, reading, key, pos, word, total, plain, cells) of windows: of items all, of documents (with `sizes`) those that may be wanted.
+
+    `pos` counts template words and `word` words; `cells` are an item's slots or a document's values.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         bits, keys = wanted.value if wanted is not None else (None, None)
         for batch in batches:
             for part in blocks(batch, "text"):
-                words, t, slot = template(part.column("text"))
-                h, b = windows(t, words.bounds, size, short=True)
-                if bits is None:
-                    at = np.arange(len(h))
-                else:
-                    place = (h >> U(40)).astype(np.int64)
-                    at = np.flatnonzero((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
-                    if keys is not None and len(at):
-                        near = np.searchsorted(keys, h[at])
-                        near[near == len(keys)] = 0
-                        at = at[keys[near] == h[at]]
-                doc = np.searchsorted(b, at, "right") - 1
-                start = words.bounds[doc] + (at - b[doc])
-                long = np.minimum(size, np.diff(words.bounds)[doc])
-                cells = np.where(np.arange(size)[None, :] < long[:, None], slot[np.minimum(start[:, None] + np.arange(size)[None, :], max(len(slot) - 1, 0))] if len(slot) else 0, U(0))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("id").take(pa.array(doc)),
-                        pa.array(h[at].view(np.int64)),
-                        pa.array((at - b[doc]).astype(np.int64)),
-                        pa.array(np.diff(b)[doc].astype(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * size), pa.array(cells.ravel().view(np.int64))),
-                    ],
-                    names=["id", "key", "pos", "total", "slots"],
-                )
-
-    return rows.mapInArrow(run, "id long, key long, pos long, total long, slots array<long>")
+                for reading, t in enumerate(templates(part.column("text"))):
+                    n = np.diff(t.bounds)
+                    own = item_size(n, size)
+                    for w in range(1, size + 1) if sizes is None else sizes:
+                        h, b = windows(t.hashes, t.bounds, w, short=False)
+                        h = _key(h, reading, w)
+                        if bits is None:
+                            at = np.flatnonzero(np.repeat(own == w, np.diff(b)))
+                        else:
+                            place = (h >> U(40)).astype(np.int64)
+                            at = np.flatnonzero((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+                            if keys is not None and len(at):
+                                near = np.searchsorted(keys, h[at])
+                                near[near == len(keys)] = 0
+                                at = at[keys[near] == h[at]]
+                        doc = np.searchsorted(b, at, "right") - 1
+                        start = t.bounds[doc] + (at - b[doc])
+                        if bits is not None and reading == 2:  # where case tells names, the other readings hold
+                            keep = t.titles[start + w] == t.titles[start]
+                            at, doc, start = at[keep], doc[keep], start[keep]
+                        if not len(at):
+                            continue
+                        cells = (t.slots if bits is None else t.values)[start[:, None] + np.arange(w)[None, :]]
+                        plain = np.concatenate([[0], np.cumsum(t.slots == 0)])
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                part.column("id").take(pa.array(doc)),
+                                pa.array(np.full(len(at), reading, np.int32)),
+                                pa.array(h[at].view(np.int64)),
+                                pa.array((start - t.bounds[doc]).astype(np.int64)),
+                                pa.array((t.words[start] - t.origin[doc]).astype(np.int64)),
+                                pa.array(np.diff(b)[doc].astype(np.int64)),
+                                pa.array((plain[t.bounds[doc + 1]] - plain[t.bounds[doc]]).astype(np.int64)),
+                                pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * w), pa.array(cells.ravel().view(np.int64))),
+                            ],
+                            names=["id", "reading", "key", "pos", "word", "total", "plain", "cells"],
+                        )
+
+    return rows.mapInArrow(run, "id long, reading int, key long, pos long, word long, total long, plain long, cells array<long>")
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -137,43 +205,49 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: float = 0.5) -> DataFrame:
     """(doc_id, item_id, coverage, exact, start): the items that documents hold.
 
-    docs: doc_id, text; benchmark: item_id, text. An item of fewer words than a
-    window is one window of its own length and is found only in documents of
-    exactly its words; an item without words is found nowhere. `coverage` is
-    the share of the item's windows found in one alignment (at least `share`),
+    docs: doc_id, text; benchmark: item_id, text. Windows have as many words as
+    `item_size` says, `size` at most; an item of fewer words is one window of
+    its own length, found anywhere in a document. An item without words is
+    found nowhere, one of slots only with its own values. `coverage` is the
+    share of the item's windows found in one alignment (at least `share`),
     `start` the first word of that alignment in the document, `exact` whether
-    all slots have the item's values. An alignment is dropped if the slots of
-    its found windows contradict each other. Of several alignments of an item
-    in a document the best is reported (largest coverage, exact first, then
-    the earliest). Rows with a null id or text take no part; repeated rows
-    count once. Further columns are not read.
+    all slots have the item's values. An alignment is a shift, or a band of
+    `BAND` neighbouring shifts, so that words may be lost or put in. It is
+    dropped if the slots of its found windows contradict each other. Of several
+    alignments of an item in a document the best is reported (largest coverage,
+    exact first, then the earliest). Rows with a null id or text take no part;
+    repeated rows count once. Further columns are not read.
     """
     spark = docs.sparkSession
     store = Store(spark, "decontam")
     items = store.table(_windows(benchmark.select(F.col("item_id").cast("long").alias("id"), "text").dropna(), size), "items")
     count = items.count()
     bits = _bitmap(items)
+    sizes = sorted(r[0] for r in items.select(F.size("cells")).distinct().collect())
     keys = None
     if count <= EXACT_WINDOWS:
         keys = np.unique(items.select("key").toPandas()["key"].to_numpy(np.int64).view(U))
     wanted = spark.sparkContext.broadcast((bits, keys if keys is None or len(keys) else None))
-    found = _windows(docs.select(F.col("doc_id").cast("long").alias("id"), "text").dropna(), size, wanted)
+    found = _windows(docs.select(F.col("doc_id").cast("long").alias("id"), "text").dropna(), size, sizes, wanted)
     # What is left are places that look like benchmark windows: a small part of the documents' windows.
-    hits = store.table(found.select(F.col("id").alias("doc_id"), "key", F.col("pos").alias("dpos"), F.col("slots").alias("dslots")), "hits")
-    right = items.select(F.col("id").alias("item_id"), "key", F.col("pos").alias("ipos"), "total", F.col("slots").alias("islots"))
-    met = hits.join(right, "key").withColumn("shift", F.col("dpos") - F.col("ipos"))
-    pairs = F.filter(F.arrays_zip("islots", "dslots"), lambda s: s["islots"] != 0)
-    groups = met.withColumn("pairs", pairs).groupBy("doc_id", "item_id", "shift")
+    hits = store.table(found.select(F.col("id").alias("doc_id"), "key", F.col("pos").alias("dpos"), F.col("word").alias("dword"), F.col("cells").alias("dcells")), "hits")
+    right = items.select(F.col("id").alias("item_id"), "reading", "key", F.col("pos").alias("ipos"), F.col("word").alias("iword"), "total", "plain", F.col("cells").alias("icells"))
+    met = hits.join(right, "key").withColumn("shift", F.col("dpos") - F.col("ipos")).withColumn("first", F.col("dword") - F.col("iword"))
+    pairs = F.filter(F.arrays_zip("icells", "dcells"), lambda s: s["icells"] != 0)
+    bands = [F.struct(F.lit(1).alias("width"), F.col("shift").alias("at"))]
+    groups = met.withColumn("pairs", pairs).withColumn("band", F.explode(F.array(*bands))).groupBy("doc_id", "item_id", "reading", "band")
     aligned = groups.agg(
         F.count_distinct("ipos").alias("windows"),
         F.first("total").alias("total"),
+        F.first("plain").alias("plain"),
+        F.min("first").alias("first"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
-    left = F.transform("pairs", lambda s: s["islots"])
-    other = F.transform("pairs", lambda s: s["dslots"])
+    left = F.transform("pairs", lambda s: s["icells"])
+    other = F.transform("pairs", lambda s: s["dcells"])
     consistent = (F.size(F.array_distinct(left)) == F.size("pairs")) & (F.size(F.array_distinct(other)) == F.size("pairs"))
-    aligned = aligned.where(consistent & (F.col("windows") >= share * F.col("total")))
-    exact = F.forall("pairs", lambda s: s["islots"] == s["dslots"])
-    best = aligned.select("doc_id", "item_id", F.struct((F.col("windows") / F.col("total")).alias("coverage"), exact.alias("exact"), (-F.col("shift")).alias("back")).alias("best"))
+    exact = F.forall("pairs", lambda s: s["icells"] == s["dcells"])
+    aligned = aligned.where(consistent & (F.col("windows") >= share * F.col("total")) & ((F.col("plain") > 0) | exact))
+    best = aligned.select("doc_id", "item_id", F.struct((F.col("windows") / F.col("total")).alias("coverage"), exact.alias("exact"), (-F.col("first")).alias("back")).alias("best"))
     best = best.groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
     return best.select("doc_id", "item_id", "best.coverage", "best.exact", (-F.col("best.back")).alias("start"))

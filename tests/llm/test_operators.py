@@ -226,3 +226,15 @@ def test_lm_target_is_labelled_clean(spark):
     got = {r["doc_id"]: r["target_loss"] for r in queries.op7_lm_scores(spark, SF).collect()}
     assert got.keys() == want.keys()
     assert all(got[d] is want[d] or abs(got[d] - want[d]) < 1e-9 for d in want)
+
+
+def held(spark, items, docs):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(spark.createDataFrame(list(enumerate(docs)), DOCS), bench).collect()}
+
+
+def test_decontamination_names(spark):
+    item = "A farmer named Tom bought 10 apples for 4 dollars and Tom sold 6 apples to his friend yesterday"
+    start = "John has twelve red marbles in his bag today. John buys seven more green marbles from the shop. John gives half of them away."
+    docs = [item.upper(), item.lower(), start.replace("John", "Maria"), start.upper()]
+    assert held(spark, [item, start], docs) == {(0, 0), (1, 0), (2, 1), (3, 1)}

@@ -238,3 +238,9 @@ def test_decontamination_names(spark):
     start = "John has twelve red marbles in his bag today. John buys seven more green marbles from the shop. John gives half of them away."
     docs = [item.upper(), item.lower(), start.replace("John", "Maria"), start.upper()]
     assert held(spark, [item, start], docs) == {(0, 0), (1, 0), (2, 1), (3, 1)}
+
+
+def test_decontamination_short_items(spark):
+    items = ["How tall is the Eiffel Tower?", "Why?", "What is 7 plus 5?", ""]
+    docs = ["Some words. How tall is the Eiffel Tower? It is tall.", "He asked why and left", "we ask what is 7 plus 5? Easy", "how tall is the man", "What is 7"]
+    assert held(spark, items, docs) == {(0, 0), (1, 1), (2, 2)}

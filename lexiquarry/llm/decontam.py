@@ -117,6 +117,8 @@ def templates(column: pa.Array) -> list[Template]:
     opens[1:] |= stops[words.starts[1:]] > stops[words.ends[:-1]]
     number = _DIGIT[data[words.starts]]
     more = np.zeros(n, bool)  # goes on with the number before
+    gap = words.starts[1:] - words.ends[:-1]
+    more[1:] = number[1:] & number[:-1] & ~starts[1:] & (gap == 1) & _SEPARATOR[data[words.ends[:-1]]]
     opens &= ~more
     unit = np.isin(h, _UNIT_HASHES)
     unit[1:] &= number[:-1] & ~opens[1:]
@@ -127,13 +129,14 @@ def templates(column: pa.Array) -> list[Template]:
     for name in (title & ~(opens & np.isin(h, _OPENER_HASHES)), title & ~opens, np.zeros(n, bool)):
         t = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, h)))
         joined = more.copy()
+        joined[1:] |= name[1:] & name[:-1] & ~opens[1:]
         out.append(Template(h, t, joined, title & ~opens, words.bounds))
     return out
 
 
 def item_size(n: np.ndarray, size: int) -> np.ndarray:
-    """Words of an item's windows: all of a short item."""
-    return np.minimum(n, size)
+    """Words of an item's windows: all of a short item; else so few that one altered word leaves half of the windows."""
+    return np.where(n < size, n, np.minimum(size, np.maximum(3, (n + 1) // 3)))
 
 
 def _key(h: np.ndarray, reading: int, size: int) -> np.ndarray:
@@ -234,7 +237,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shar
     right = items.select(F.col("id").alias("item_id"), "reading", "key", F.col("pos").alias("ipos"), F.col("word").alias("iword"), "total", "plain", F.col("cells").alias("icells"))
     met = hits.join(right, "key").withColumn("shift", F.col("dpos") - F.col("ipos")).withColumn("first", F.col("dword") - F.col("iword"))
     pairs = F.filter(F.arrays_zip("icells", "dcells"), lambda s: s["icells"] != 0)
-    bands = [F.struct(F.lit(1).alias("width"), F.col("shift").alias("at"))]
+    # A single shift (width 1), and each band of shifts that holds it.
+    bands = [F.struct(F.lit(1).alias("width"), F.col("shift").alias("at")), *(F.struct(F.lit(BAND).alias("width"), (F.col("shift") - k).alias("at")) for k in range(BAND))]
     groups = met.withColumn("pairs", pairs).withColumn("band", F.explode(F.array(*bands))).groupBy("doc_id", "item_id", "reading", "band")
     aligned = groups.agg(
         F.count_distinct("ipos").alias("windows"),

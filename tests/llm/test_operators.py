@@ -244,3 +244,12 @@ def test_decontamination_short_items(spark):
     items = ["How tall is the Eiffel Tower?", "Why?", "What is 7 plus 5?", ""]
     docs = ["Some words. How tall is the Eiffel Tower? It is tall.", "He asked why and left", "we ask what is 7 plus 5? Easy", "how tall is the man", "What is 7"]
     assert held(spark, items, docs) == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_decontamination_near_copies(spark):
+    fifteen = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
+    twenty = f"{fifteen} pi rho sigma tau upsilon"
+    city = "The train that leaves Paris at 7 in the morning reaches the coast before noon on every day"
+    docs = [fifteen.replace(" theta ", " other "), twenty.replace(" kappa ", " kappa extra "), city.replace("Paris", "New York").replace("7", "1,250"), city.replace("7", "3.5"), "alpha beta gamma and other letters"]
+    got = held(spark, [fifteen, twenty, city], docs)
+    assert {(0, 0), (1, 1), (2, 2), (3, 2)} <= got and not any(d == 4 for d, _ in got)

@@ -1,11 +1,10 @@
 """Licence paragraphs: a trained classifier, confirmed by template comparison.
 
-Paragraphs (lines) that share enough telling word pairs with some template
-are classified by a sparse logistic regression over hashed word n-grams. It
-is trained on pieces and variants of the templates against a bounded sample
+All paragraphs (lines) with words are classified by a sparse logistic
+regression over hashed word n-grams. It is trained on pieces and variants of the templates against a bounded sample
 of the corpus' own paragraphs, and its temperature is fitted on held-out
 variants. A paragraph whose best family is not probable enough, or whose
-word pairs that family's template does not hold, is of unknown licence.
+word pairs that family's templates do not hold, is of unknown licence.
 """
 
 from __future__ import annotations
@@ -83,10 +82,19 @@ TEMPLATES = {
         "Copyright, all rights reserved. Unauthorized copying of this file is strictly prohibited. Proprietary and confidential.",
     ],
 }
+#: Short names that tags and headers give.
+NAMES = {
+    "MIT": ["MIT"], "Apache-2.0": ["Apache-2.0"], "GPL": ["GPL-3.0", "GPLv3", "GPLv2", "GPL"], "LGPL": ["LGPL-2.1", "LGPLv3", "LGPL"], "AGPL": ["AGPL-3.0", "AGPLv3", "AGPL"], "BSD": ["BSD-3-Clause", "BSD-2-Clause", "BSD"],
+    "MPL": ["MPL-2.0", "MPL"], "CC-BY": ["CC-BY-4.0", "CC-BY-SA-4.0"], "CC-BY-NC": ["CC-BY-NC-4.0"], "CC0": ["CC0-1.0", "CC0"], "proprietary": ["Proprietary"],
+}
+TAGS = {f: [t for n in names for t in (f"SPDX-License-Identifier: {n}", f"License: {n}")] for f, names in NAMES.items()}
+WORDING = {f: [*ts, *TAGS[f]] for f, ts in TEMPLATES.items()}
 FAMILIES = [NONE, *TEMPLATES]
 #: Words that tell nothing about a licence when they stand together.
 _PLAIN = set("the of and to in a is that for it as this be by with without or not an on any all are at under you may which from its their no".split())
 
+_NOTICE = re.compile("licen[cs]e|spdx", re.IGNORECASE)
+
 
 def _hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     words = Words(*buffers(pa.array([t.lower() for t in texts], pa.string())), ALNUM)
@@ -109,10 +117,11 @@ class Model:
     weights: np.ndarray  # (buckets, families)
     constant: np.ndarray
     temperature: float
-    telling: np.ndarray  # sorted hashes of the templates' telling word pairs
-    pairs: list[np.ndarray]  # of each family
+    pairs: list[np.ndarray]  # sorted hashes of each family's word pairs
+    known: np.ndarray  # sorted hashes of the word pairs of all families
+    weight: np.ndarray  # of these: one over the number of families that have the pair
     least: float = 0.5  # probability
-    alike: float = 0.5  # share of a paragraph's telling pairs that the family's template has
+    alike: float = 0.5  # share of a paragraph's pairs, by weight, that the family's templates have
 
     def probabilities(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         bucket, row = _grams(h, bounds)
@@ -123,6 +132,34 @@ class Model:
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
+    def alike_to(self, own: np.ndarray, family: int) -> float:
+        """The share of the pairs `own` that the family has; a pair that no family has weighs one."""
+        if not len(own):
+            return 0.0
+        at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        weight = np.where(self.known[at] == own, self.weight[at], 1.0)
+        return float(weight[np.isin(own, self.pairs[family])].sum() / weight.sum())
+
+
+def _pairs(h: np.ndarray, bounds: np.ndarray, numeric: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds by paragraph) of the word pairs without a number: versions tell no family."""
+    g, b = windows(h, bounds, 2, short=False)
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(b))
+    first = bounds[row] + np.arange(len(g)) - b[row]
+    keep = ~(numeric[first] | numeric[np.minimum(first + 1, len(numeric) - 1)]) if len(g) else np.zeros(0, bool)
+    return g[keep], np.searchsorted(row[keep], np.arange(len(bounds)))
+
+
+def _numeric(words: Words) -> np.ndarray:
+    """Whether a word starts with a digit."""
+    first = words.data[words.starts]
+    return (first >= 0x30) & (first <= 0x39)
+
+
+def _pairs_of(texts: list[str]) -> np.ndarray:
+    words = Words(*buffers(pa.array([t.lower() for t in texts], pa.string())), ALNUM)
+    return np.unique(_pairs(words.hashes(), words.bounds, _numeric(words))[0])
+
 
 def _variants(text: str, rng: random.Random) -> str:
     """A piece of a template with some words lost and other words around."""
@@ -151,20 +188,20 @@ def _telling(texts: list[str]) -> np.ndarray:
 def train(docs: DataFrame, bound: int = 400, variants: int = 60, seed: int = 5, id: str = "doc_id", text: str = "text") -> Model:
     """Learn from variants of the templates and the paragraphs of about `bound` documents drawn by a hash of their id.
 
-    Drawn paragraphs that share three telling pairs with a template are not
-    taken as examples of no licence.
+    Drawn paragraphs that share three telling pairs with a template, or one
+    and speak of a licence, are not taken as examples of no licence.
     """
     rng = random.Random(seed)
-    telling = _telling([t for ts in TEMPLATES.values() for t in ts])
+    telling = _telling([t for ts in WORDING.values() for t in ts])
     drawn_docs = docs.where(drawn(id, docs.count(), bound, 41)).select(F.col(text).alias("t")).dropna()
     lines = [x for r in drawn_docs.toPandas()["t"] for x in r.split("\n") if x.strip()][: 20 * bound]
-    examples = [(f, _variants(t, rng)) for f, ts in TEMPLATES.items() for t in ts for _ in range(variants)]
-    examples += [(f, t) for f, ts in TEMPLATES.items() for t in ts]
+    examples = [(f, _variants(t, rng)) for f, ts in WORDING.items() for t in ts for _ in range(variants)]
+    examples += [(f, t) for f, ts in WORDING.items() for t in ts]
     if lines:
         h, b = _hashes(lines)
         g, gb = windows(h, b, 2, short=False)
         hits = np.add.reduceat(np.append(np.isin(g, telling), False).astype(int), gb[:-1]) * (np.diff(gb) > 0)
-        examples += [(NONE, x) for x, n in zip(lines, hits.tolist(), strict=True) if n < 3]
+        examples += [(NONE, x) for x, n in zip(lines, hits.tolist(), strict=True) if n < 3 and not (n and _NOTICE.search(x))]
     examples += [(NONE, " ".join(rng.sample(sorted(_PLAIN), 8))) for _ in range(200)]
     rng.shuffle(examples)
     cut = len(examples) * 4 // 5
@@ -175,7 +212,9 @@ def train(docs: DataFrame, bound: int = 400, variants: int = 60, seed: int = 5,
     size = np.maximum(np.bincount(row, minlength=len(examples)), 1)
     fit = row < cut
     w, c = sparse_logistic(row[fit], bucket[fit], 1 / np.sqrt(size[row[fit]]), y[:cut], 1 << BITS, ridge=1.0, steps=60, rate=0.3)
-    m = Model(w, c, 1.0, telling, [np.zeros(0, U), *(_telling(ts) for ts in TEMPLATES.values())])
+    pairs = [_pairs_of(ts) for ts in WORDING.values()]
+    known, families = np.unique(np.concatenate(pairs), return_counts=True)
+    m = Model(w, c, 1.0, [np.zeros(0, U), *pairs], known, 1 / families)
     p = m.probabilities(h, b)[cut:]
     logits = np.log(np.maximum(p, 1e-12))
 
@@ -217,33 +256,23 @@ def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             for part in blocks(batch, text):
                 data, offsets = buffers(pc.utf8_lower(pc.fill_null(part.column(text), "")))
-                words = Words(data, offsets, ALNUM)
-                g, gb = windows(words.hashes(), words.bounds, 2, short=False)
-                doc = np.repeat(np.arange(part.num_rows), np.diff(gb))
-                at = np.searchsorted(m.telling, g)
-                at[at == len(m.telling)] = 0
-                hit = np.flatnonzero(m.telling[at] == g)
-                # the word that a pair starts with, and the number of line ends before it
-                first = words.starts[words.bounds[doc[hit]] + hit - gb[doc[hit]]]
+                starts = np.unique(np.concatenate([offsets, np.flatnonzero(line_end[data]) + 1]))
+                words = Words(data, starts, ALNUM)
+                doc = np.searchsorted(offsets, starts[:-1], "right") - 1
                 ends = np.concatenate([[0], np.cumsum(line_end[data])])
-                line, count = np.unique(np.stack([doc[hit], ends[first] - ends[offsets[doc[hit]]]]), axis=1, return_counts=True)
+                number = ends[starts[:-1]] - ends[offsets[doc]]
+                h = words.hashes()
+                p = m.probabilities(h, words.bounds)
+                pg, pb = _pairs(h, words.bounds, _numeric(words))
                 out: list[list[dict]] = [[] for _ in range(part.num_rows)]
-                wanted = line[:, count >= 2].T.tolist()
-                if wanted:
-                    lines = {d: part.column(text)[d].as_py().split("\n") for d in {d for d, _ in wanted}}
-                    wanted = [(d, k) for d, k in wanted if k < len(lines[d])]
-                    h, b = _hashes([lines[d][k] for d, k in wanted])
-                    p = m.probabilities(h, b)
-                    pg, pb = windows(h, b, 2, short=False)
-                    for i, (d, k) in enumerate(wanted):
-                        own = np.unique(pg[pb[i] : pb[i + 1]])
-                        own = own[np.isin(own, m.telling)]
-                        best = int(p[i, 1:].argmax()) + 1
-                        if p[i, 0] >= p[i, best] or not len(own):
-                            continue
-                        alike = float(np.isin(own, m.pairs[best]).mean())
-                        sure = p[i, best] >= m.least and alike >= m.alike
-                        out[d].append({"paragraph": k, "family": FAMILIES[best] if sure else UNKNOWN, "probability": float(p[i, best]), "similarity": alike, "text": lines[d][k]})
+                wanted = np.flatnonzero((np.diff(words.bounds) > 0) & (p[:, 0] < 0.5))
+                lines = {d: part.column(text)[d].as_py().split("\n") for d in set(doc[wanted].tolist())}
+                for i in wanted.tolist():
+                    d, k = int(doc[i]), int(number[i])
+                    best = int(p[i, 1:].argmax()) + 1
+                    alike = m.alike_to(np.unique(pg[pb[i] : pb[i + 1]]), best)
+                    sure = p[i, best] >= m.least and alike >= m.alike
+                    out[d].append({"paragraph": k, "family": FAMILIES[best] if sure else UNKNOWN, "probability": float(p[i, best]), "similarity": alike, "text": lines[d][k]})
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(out, kind)], names=[*kept, "licenses"])
 
     plain = docs.select(*(F.col(f"`{c}`") for c in kept))

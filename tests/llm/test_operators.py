@@ -253,3 +253,11 @@ def test_decontamination_near_copies(spark):
     docs = [fifteen.replace(" theta ", " other "), twenty.replace(" kappa ", " kappa extra "), city.replace("Paris", "New York").replace("7", "1,250"), city.replace("7", "3.5"), "alpha beta gamma and other letters"]
     got = held(spark, [fifteen, twenty, city], docs)
     assert {(0, 0), (1, 1), (2, 2), (3, 2)} <= got and not any(d == 4 for d, _ in got)
+
+
+def test_licenses_of_all_lines(spark):
+    lines = ["SPDX-License-Identifier: MIT", "License: GPLv3", "Licensed under the Eclipse Public License 2.0", "Licensed under the Mozilla Public License 2.0.", "the river was wide and cold"]
+    docs = spark.createDataFrame([(1, "\n\n".join(lines))], DOCS)
+    model = licenses.train(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+    got = {x["text"]: x["family"] for x in licenses.scan(docs, model).first()["licenses"]}
+    assert got == dict(zip(lines, ["MIT", "GPL", "unknown", "MPL"], strict=False))

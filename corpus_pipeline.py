@@ -42,11 +42,15 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its text."""
-    spec = bpe.vocabulary(spark, vocabulary_path())
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    coded = bpe.encode(docs.select("doc_id", "text", "lang", "source"), spec).withColumn("digest", digest).drop("text")
-    both = bpe.decode(coded, spec)
+    """Token ids of every document, and whether they decode to its text.
+
+    Null and empty texts have no ids and come back as the empty text. Rows are
+    neither dropped nor joined; columns beyond those of documents are not read.
+    """
+    shared = bpe.vocabulary(spark, vocabulary_path())
+    told = F.coalesce("text", F.lit(""))
+    digest = F.sha2(told, 256).alias("digest")
+    both = bpe.encode_decode(docs.select("doc_id", told.alias("text"), "lang", "source", digest), shared)
     return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.sha2("decoded", 256) == F.col("digest")).alias("round_trip"))
 
 

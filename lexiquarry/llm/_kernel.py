@@ -97,6 +97,13 @@ class Words:
         self.fold = fold
         self._sums: tuple[np.ndarray, np.ndarray] | None = None
 
+    @classmethod
+    def of(cls, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Words:
+        """Given spans of bytes as words, case kept; not dealt to texts."""
+        out = cls.__new__(cls)
+        out.data, out.starts, out.ends, out.fold, out._sums = data, starts, ends, np.arange(256, dtype=np.uint8), None
+        return out
+
     def hashes(self, ends: np.ndarray | None = None) -> np.ndarray:
         """A 64-bit hash of each word, or of its bytes before `ends`."""
         if self._sums is None:

@@ -67,9 +67,8 @@ def vocabulary_path() -> str:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = bpe.vocabulary(spark, vocabulary_path())
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = bpe.decode(bpe.encode(docs, spec).drop("text"), spec)
+    shared = bpe.vocabulary(spark, vocabulary_path())
+    both = bpe.encode_decode(_table(spark, sf_dir, "documents").select("doc_id", "text"), shared)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -119,14 +119,43 @@ def spec():
 def test_bpe_equals_the_library(spec):
     from tokenizers import Tokenizer
 
-    codec, decoder, library = bpe.Codec(spec), bpe.Decoder(spec), Tokenizer.from_file(queries.vocabulary_path())
+    np.seterr(over="ignore")
+    tables = bpe.Tables.of(spec)
+    codec, library = bpe.Codec(tables), Tokenizer.from_file(queries.vocabulary_path())
     rng = random.Random(5)
-    parts = ["a", "the", " of", "ing", "  ", "\n", "\t", "é", "日本", "𝒳", "'s", "'ll", "123", "<|endoftext|>", "<|", "!!", "\x1c", "\x85", " ", "²", "aaaa", "----"]
+    parts = ["a", "the", " of", "ing", "  ", "\n", "\t", "é", "日本", "𝒳", "'s", "'ll", "123", "<|endoftext|>", "<|", "!!", "\x1c", "\x85", " ", "²", "aaaa", "----", "'", "'re", "'r", "\xa0", "it's", "'S"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["a" * 20_000, ""]
     for t in texts:
         ids = codec.encode(t)
         assert ids == library.encode(t, add_special_tokens=False).ids
-        assert decoder.gather(np.array(ids, np.int64))[0].tobytes().decode() == t
+        assert bpe.gather(tables, np.array(ids, np.int64))[0].tobytes().decode() == t
+    raw = [t.encode() for t in texts]
+    ids, count = codec.block(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_bpe_is_exact_when_hashes_meet(spec, monkeypatch):
+    np.seterr(over="ignore")
+    tables = bpe.Tables.of(spec)
+    texts = b"one two three one fourfive"
+    raw, ends = np.frombuffer(texts, np.uint8), np.array([0, 7, len(texts)])
+    want = [x.tolist() for x in bpe.Codec(tables).block(raw, ends)]
+    monkeypatch.setattr(bpe.Words, "hashes", lambda self: np.zeros(len(self.starts), np.uint64))
+    assert [x.tolist() for x in bpe.Codec(tables).block(raw, ends)] == want
+    monkeypatch.undo()
+    monkeypatch.setattr(bpe, "REMEMBERED", 2)  # generations come and go
+    codec = bpe.Codec(tables)
+    assert [[x.tolist() for x in codec.block(raw, ends)] for _ in range(3)] == [want] * 3
+
+
+def test_bpe_rejects_other_vocabularies(spec):
+    file = json.loads(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"content": "x", "id": 60_000, "lstrip": True}]}, {"model": {**file["model"], "ignore_merges": True}}):
+        with pytest.raises(ValueError):
+            bpe.Tables.of(json.dumps({**file, **change}))
+    vocab = file["model"]["vocab"] | {"qxzq": 60_000}  # an entry that no merges reach
+    codec = bpe.Codec(bpe.Tables.of(json.dumps({**file, "model": {**file["model"], "vocab": vocab}})))
+    assert 60_000 not in codec.encode("qxzq") and codec.encode("qxzq") == bpe.Codec(bpe.Tables.of(spec)).encode("qxzq")
 
 
 def test_bpe_query(spark):
@@ -141,6 +170,11 @@ def test_bpe_query(spark):
     spec = bpe.vocabulary(spark, queries.vocabulary_path())
     odd = bpe.decode(bpe.encode(spark.createDataFrame([(1, None, 3), (2, "", 4)], "doc_id long, text string, decoded int"), spec), spec).collect()
     assert [(r["ids"], r["decoded"]) for r in odd] == [([], ""), ([], "")]
+    rows = [(1, "a b", "x"), (1, "a b", "x"), (2, "é" * 300_000, "y"), (3, "w" * 50_000, "z")]
+    both = bpe.encode_decode(spark.createDataFrame(rows, "doc_id long, text string, ids string"), spec).collect()
+    assert sorted((r["doc_id"], r["decoded"]) for r in both) == sorted((r[0], r[1]) for r in rows)
+    assert all(r["ids"] == library.encode(r["decoded"], add_special_tokens=False).ids for r in both)
+    assert bpe.encode_decode(spark.createDataFrame([], DOCS), spec).collect() == []
 
 
 def test_lm_losses(spark):

@@ -16,26 +16,50 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    Null, empty and blank texts have quality 0 and go. Every row is judged by
+    its text alone, so repeated rows stay or go together, with or without an id.
+    """
     return quality.score(docs, quality.train(docs)).where("good").select(*COLUMNS)
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted toxic."""
+    """Documents that aren't predicted toxic.
+
+    Labels of ids that the documents lack tell nothing; with several labels an
+    id counts once for each. Null and empty texts have no toxic passage and
+    stay; repeated rows stay or go together.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.train(docs, labels.where(~toxicity.held_out()))
     return toxicity.score(docs, model).where("predicted = 0").select(*COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, a similarity of 0.8 or more."""
+    """One document of each near-duplicate group: five-word shingles, a similarity of 0.8 or more.
+
+    The document with the smallest id stays. Of rows that share id and text one
+    stays, that with the least other columns. Texts without words are in no
+    group and stay, as do rows without an id, which no group can name.
+    """
+    store = Store(spark, "pipeline")
     found = minhash.near_duplicates(docs, minhash.MinMax(shingle=5, percent=80, bands=45))
-    gone = Store(spark, "pipeline").table(found.where("not kept").select("doc_id").distinct(), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    flags = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("stays"), F.count("*").alias("rows"))
+    flags = store.table(flags.where("not stays or rows > 1"), "copies")
+    once = docs.join(flags.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    several = docs.join(flags.where("stays").select("doc_id"), "doc_id", "left_semi")
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    several = several.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest"))
+    return once.union(several.select("doc_id", "text", "rest.*").select(*COLUMNS))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; one that holds any goes whole, with all rows of its id.
+
+    Rows without an id or text hold nothing and stay; so do all documents if
+    the benchmark is empty.
+    """
     found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = Store(spark, "pipeline").table(found.select("doc_id").distinct(), "leaks")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)

@@ -7,7 +7,8 @@ or driver holds a model: chunks of documents send their distinct keys to
 buckets of the key space, a bucket adds up its keys' counts, and the counts go
 back to the chunks. A document's score is the mean over its words of the loss
 under the target model less the loss under the background model: the lower,
-the more it is like the target.
+the more it is like the target. What a document itself adds to a model is
+taken off before it is scored by it.
 """
 
 from __future__ import annotations
@@ -176,22 +177,31 @@ def _answers(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_rows(rows, _ANSWERS)])
 
 
-def loss(count: np.ndarray, total: int, cells: int, word: np.ndarray, pair: np.ndarray, inner: np.ndarray, s: Shape) -> np.ndarray:
-    """-ln p of each word given the one before it; `word` and `pair` are places in `count`."""
-    p = (count[word] + s.add) / (total + s.add * cells)
-    before = np.zeros(len(word))
-    before[1:] = count[word[:-1]]
+def loss(word: np.ndarray, pair: np.ndarray, before: np.ndarray, total: np.ndarray, cells: int, inner: np.ndarray, s: Shape) -> np.ndarray:
+    """-ln p of each word given the one before it, from the counts of the word, the pair and the word before, and all words' total."""
+    p = (word + s.add) / (total + s.add * cells)
     known = inner & (before > 0)
-    follows = np.where(known, count[pair] / np.maximum(before, 1), 0.0)
+    follows = np.where(known, pair / np.maximum(before, 1), 0.0)
     weight = np.where(known, s.trust, 0.0)
     return -np.log((1 - weight) * p + weight * follows)
 
 
+def _own(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """How often each place's key is in its document."""
+    if not len(key):
+        return np.zeros(0, np.int64)
+    _, at, n = np.unique(doc * (int(key.max()) + 1) + key, return_inverse=True, return_counts=True)
+    return n[at]
+
+
 def score(docs: DataFrame, target: Model, background: Model, s: Shape = Shape(), text: str = "text") -> DataFrame:
     """`docs` with n_words, target_loss, background_loss (means, in nats) and difference.
 
-    Null, empty and wordless texts have no losses and no difference (null).
-    Columns of the four names are replaced, all others kept.
+    A row that a model counts (its frame is `docs` itself) is scored by the
+    model without it: its own counts are taken off, those of other rows with
+    the same text stay. Null, empty and wordless texts have no losses and no
+    difference (null). Columns of the four names are replaced, all others and
+    repeated rows kept.
     """
     new = ("n_words", "target_loss", "background_loss", "difference")
     kept = [c for c in docs.columns if c not in new]
@@ -224,10 +234,19 @@ def score(docs: DataFrame, target: Model, background: Model, s: Shape = Shape(),
         pair = np.zeros(len(word), np.int64)
         pair[inner] = at[len(word) :]
         n = np.diff(bounds)
+        doc = np.repeat(np.arange(len(n)), n)
+        own_word, own_pair = _own(doc, word), np.zeros(len(word), np.int64)
+        own_pair[inner] = _own(doc[inner], pair[inner])
         mean = []
-        for name, total in zip(("target", "background"), totals, strict=True):
+        for name, flag, total in zip(("target", "background"), (_T, _B), totals, strict=True):
             count = np.concatenate([np.zeros(0, np.int64), *(_unpack(r[name]) for r in rows[1:])])
-            sums = np.concatenate([[0.0], np.cumsum(loss(count, total, cells, word, pair, inner, s))]) if len(word) else np.zeros(1)
+            counted = np.asarray(part.column(flag))[doc]
+            of_word = count[word] - counted * own_word
+            of_pair = np.where(inner, count[pair] - counted * own_pair, 0)
+            before = np.zeros(len(word), np.int64)
+            before[1:] = of_word[:-1]
+            each = loss(of_word, of_pair, before, total - counted * n[doc], cells, inner, s)
+            sums = np.concatenate([[0.0], np.cumsum(each)])
             mean.append((sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(n, 1))
         out = [pa.array(x, pa.float64(), mask=n == 0) for x in (*mean, mean[0] - mean[1])]
         return pa.table([*(part.column(c) for c in kept), pa.array(n.astype(np.int64)), *out], names=[*kept, *new])

@@ -1,7 +1,9 @@
 import hashlib
 import json
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -248,18 +250,59 @@ def test_lm_counts_are_exact(spark):
     assert len(got) == len(texts)
     for d in (0, 77, 199):
         own = words[1000 * d : 1000 * d + 1000]
-        p = [(n[w] + 0.5) / (len(words) + 0.5 * (1 << 18)) for w in own]
-        want = [-np.log(p[0]), *(-np.log(0.3 * p[i] + 0.7 * pairs[own[i - 1], own[i]] / n[own[i - 1]]) for i in range(1, 1000))]
+        mine, both = Counter(own), Counter(zip(own, own[1:], strict=False))
+        count = {w: n[w] - mine[w] for w in own}
+        p = [(count[w] + 0.5) / (len(words) - 1000 + 0.5 * (1 << 18)) for w in own]
+        want = [-np.log(p[0])]
+        for i in range(1, 1000):
+            a = own[i - 1]
+            want.append(-np.log(0.3 * p[i] + 0.7 * (pairs[a, own[i]] - both[a, own[i]]) / count[a] if count[a] else p[i]))
         assert abs(got[d]["background_loss"] - np.mean(want)) < 1e-9
 
 
-def test_lm_target_is_labelled_clean(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    clean = [r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 and toxic = 0").collect()]
-    want = {r["doc_id"]: r["target_loss"] for r in lm.score(docs, lm.train(docs.where(F.col("doc_id").isin(clean))), lm.train(docs)).collect()}
-    got = {r["doc_id"]: r["target_loss"] for r in queries.op7_lm_scores(spark, SF).collect()}
-    assert got.keys() == want.keys()
-    assert all(got[d] is want[d] or abs(got[d] - want[d]) < 1e-9 for d in want)
+def lm_by_hand(texts, counted):
+    """Mean losses of each text under the model of the texts in `counted`, without itself."""
+    cut = {i: re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").lower()) for i, t in texts.items()}
+    word, pair = Counter(), Counter()
+    every = set()
+    for i, w in cut.items():
+        every |= set(w)
+        if i in counted:
+            word.update(w)
+            pair.update(zip(w, w[1:], strict=False))
+    out = {}
+    for i, w in cut.items():
+        own, two = (Counter(w), Counter(zip(w, w[1:], strict=False))) if i in counted else (Counter(), Counter())
+        total = sum(word.values()) - sum(own.values())
+        sums = []
+        for k, x in enumerate(w):
+            p = (word[x] - own[x] + 0.5) / (total + 0.5 * max(1 << 18, len(every)))
+            before = word[w[k - 1]] - own[w[k - 1]] if k else 0
+            sums.append(-np.log(0.3 * p + 0.7 * (pair[w[k - 1], x] - two[w[k - 1], x]) / before if before else p))
+        out[i] = np.mean(sums) if sums else None
+    return out
+
+
+def test_lm_query_equals_brute_force(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    clean = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 and toxic = 0").collect()}
+    want = lm_by_hand(texts, clean), lm_by_hand(texts, set(texts))
+    got = {r["doc_id"]: r for r in queries.op7_lm_scores(spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    for d, r in got.items():
+        for name, w in zip(("target_loss", "background_loss"), want, strict=True):
+            assert r[name] is w[d] or abs(r[name] - w[d]) < 1e-9
+
+
+def test_lm_tells_what_occurs_twice(spark):
+    rng = random.Random(3)
+    make = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(80))
+    texts = [make() for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[7], "", None])), "doc_id long, difference string").withColumnRenamed("difference", "text")
+    m = lm.train(docs)
+    got = {r["doc_id"]: r["background_loss"] for r in lm.score(docs, m, m).collect()}
+    assert max(got[7], got[60]) < min(v for d, v in got.items() if v is not None and d not in (7, 60)) and got[61] is None
+    assert lm.score(docs.limit(0), lm.train(docs.limit(0)), lm.train(docs.limit(0))).collect() == []
 
 
 def held(spark, items, docs):

@@ -95,6 +95,45 @@ def test_nearest_equals_brute_force(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def lists(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        out.setdefault(r["query_id"], []).append(r["vec_id"])
+    return out
+
+
+def true_lists(x, every, k=10):
+    out = {}
+    for q in range(0, len(x), every):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        out[q] = np.lexsort((np.arange(len(x)), d))[:k].tolist()
+    return out
+
+
+@pytest.mark.parametrize("kind", ["centred", "shifted", "clusters"])
+def test_nearest_wherever_the_data_lies(spark, kind):
+    rng = np.random.default_rng(8)
+    n, every = 3000, 50
+    x = {
+        "centred": lambda: rng.standard_normal((n, 3)) @ rng.standard_normal((3, 32)) * 0.01,
+        "shifted": lambda: rng.standard_normal((n, 3)) @ rng.standard_normal((3, 32)) * 0.01 + 1e6,
+        "clusters": lambda: rng.standard_normal((60, 32))[rng.integers(0, 60, n)] * 1e3 + rng.standard_normal((n, 2)) @ rng.standard_normal((2, 32)),
+    }[kind]()
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(7)
+    want = true_lists(x, every)
+    assert lists(ann.nearest(vectors, every=every)) == want
+    got = lists(ann.nearest(vectors, every=every, exact=False))
+    recall = np.mean([len(set(got[q]) & set(w)) / len(w) for q, w in want.items()])
+    assert recall >= 0.9, recall
+
+
+def test_nearest_odd_rows(spark):
+    rows = [(0, [1.0, 0.0], 1), (100, [1.0, 0.5, 0.0], 2), (1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.9, 0.0], 1), (3, [1.0, 0.5, 0.1], 1), (None, [1.0, 0.0], 1), (4, [], 1), (5, [1.1, 0.0], 1)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int"), k=3)
+    assert lists(got) == {0: [1, 2, 5], 100: [3]}  # each length on its own, ties to the smaller id, repeats once
+
+
 def test_hilbert_neighbours_touch():
     side = 8
     cells = np.array([(a, b, c) for a in range(side) for b in range(side) for c in range(side)])

@@ -5,13 +5,16 @@ grows by deltas, may be edited (its text is replaced) or regenerated (its text
 starts afresh and all later messages opened before go). `fold` partitions the
 log by conversation, orders by sequence number and folds the events into the
 final messages; `render` writes them in a template with control strings, and
-`read_back` parses that output. All of it is DataFrame functions in one
-partitioning by conversation.
+`read_back` parses that output. All of it stays in one partitioning by
+conversation and takes time in proportion to the texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,16 +24,15 @@ TURN_END = "<|im_end|>"
 EVENTS = "conv_id long, seq long, kind string, msg long, role string, text string"
 
 
-def escape(text: Column, role: bool = False) -> Column:
+def escape(text: str, role: bool = False) -> str:
     r"""No control string is left inside: `\` becomes `\b` and `<|` becomes `\c`; in a role a newline becomes `\d`."""
-    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\b")), F.lit("<|"), F.lit("\\c"))
-    return F.replace(out, F.lit("\n"), F.lit("\\d")) if role else out
+    out = text.replace("\\", "\\b").replace("<|", "\\c")
+    return out.replace("\n", "\\d") if role else out
 
 
-def unescape(text: Column) -> Column:
+def unescape(text: str) -> str:
     """The inverse: after escaping, every backslash starts one of the three codes."""
-    out = F.replace(F.replace(text, F.lit("\\d"), F.lit("\n")), F.lit("\\c"), F.lit("<|"))
-    return F.replace(out, F.lit("\\b"), F.lit("\\"))
+    return text.replace("\\d", "\n").replace("\\c", "<|").replace("\\b", "\\")
 
 
 def events_of(rows: DataFrame, piece: int = 256) -> DataFrame:
@@ -41,9 +43,7 @@ def events_of(rows: DataFrame, piece: int = 256) -> DataFrame:
     """
     order = Window.partitionBy("conv_id").orderBy(F.col("turn"), F.col("role"), F.col("text"))
     numbered = rows.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(order).cast("long").alias("msg"))
-    count = F.ceil(F.length("text") / piece).cast("int")
-    pieces = F.transform(F.sequence(F.lit(1), count), lambda k: F.substring(F.col("text"), (k - 1) * piece + 1, F.lit(piece)))
-    pieces = F.when(count > 0, pieces).otherwise(F.array().cast("array<string>"))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
     texts = F.concat(F.array(F.lit(None).cast("string")), pieces)
     out = numbered.select("conv_id", "msg", "role", F.posexplode(texts).alias("k", "text"))
     return out.select("conv_id", (F.col("msg") * (1 << 31) + F.col("k")).alias("seq"), F.when(F.col("k") == 0, "open").otherwise("delta").alias("kind"), "msg", "role", "text")
@@ -59,46 +59,82 @@ def fold(events: DataFrame) -> DataFrame:
     """
     one = F.struct("seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = events.repartition("conv_id")
-    messages = dealt.groupBy("conv_id", "msg").agg(F.array_sort(F.collect_list(one)).alias("ev"))
-    reset = F.array_max(F.transform(F.filter("ev", lambda e: e["kind"].isin("edit", "regenerate")), lambda e: e["seq"]))
-    spoken = F.filter("ev", lambda e: e["kind"].isin("delta", "edit") & (e["seq"] >= F.coalesce(F.col("reset"), e["seq"])))
-    messages = messages.withColumn("reset", reset).select(
-        "conv_id",
-        "msg",
-        F.array_join(F.transform(spoken, lambda e: e["text"]), "").alias("text"),
-        F.coalesce(F.element_at(F.transform(F.filter("ev", lambda e: e["kind"] == "open"), lambda e: e["role"]), -1), F.element_at("ev", 1)["role"]).alias("role"),
-        F.coalesce(F.array_max(F.transform(F.filter("ev", lambda e: e["kind"] == "open"), lambda e: e["seq"])), F.element_at("ev", 1)["seq"]).alias("opened"),
-        F.array_max(F.transform(F.filter("ev", lambda e: e["kind"] == "regenerate"), lambda e: e["seq"])).alias("regenerated"),
+    at = lambda *kinds: F.max(F.when(F.col("kind").isin(*kinds), F.col("seq")))
+    opens = F.when(F.col("kind") == "open", one)
+    # What the filters below compare with is aggregated, not an expression that they would work out anew for each event.
+    messages = dealt.groupBy("conv_id", "msg").agg(
+        F.array_sort(F.collect_list(one)).alias("ev"),
+        at("edit", "regenerate").alias("reset"),
+        F.coalesce(F.max(opens), F.min(one)).alias("first"),
+        at("regenerate").alias("regenerated"),
     )
-    turns = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("msg", "role", "text", "opened", "regenerated"))).alias("all"))
-    again = F.filter("all", lambda m: m["regenerated"].isNotNull())
+    spoken = F.filter("ev", lambda e: e["kind"].isin("delta", "edit") & (F.col("reset").isNull() | (e["seq"] >= F.col("reset"))))
+    messages = messages.select("conv_id", "msg", F.array_join(F.transform(spoken, lambda e: e["text"]), "").alias("text"), "first.role", F.col("first.seq").alias("opened"), "regenerated")
+    again = F.when(F.col("regenerated").isNotNull(), F.struct("msg", "regenerated"))
+    turns = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("msg", "role", "text", "opened"))).alias("all"), F.collect_list(again).alias("again"))
     stands = F.filter("all", lambda m: ~F.exists(F.col("again"), lambda r: (r["msg"] < m["msg"]) & (r["regenerated"] > m["opened"])))
-    return turns.withColumn("again", again).select("conv_id", F.transform(stands, lambda m: F.struct(m["msg"], m["role"], m["text"])).alias("turns"))
+    return turns.select("conv_id", F.transform(stands, lambda m: F.struct(m["msg"], m["role"], m["text"])).alias("turns"))
+
+
+#: Characters of conversations that are given out together.
+_BATCH = 4 << 20
+_TURNS = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _dealt(found: Iterator[tuple[int, tuple]], kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows that come with their sizes."""
+    rows, held = [], 0
+    make = lambda: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
+    for size, row in found:
+        rows.append(row)
+        held += size
+        if held > _BATCH:
+            yield make()
+            rows, held = [], 0
+    if rows:
+        yield make()
 
 
 def render(folded: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss): the template's text and the [start, end) code points of the assistant texts in it."""
-    turn = lambda m: F.concat(F.lit(TURN_START), escape(m["role"], True), F.lit("\n"), escape(m["text"]), F.lit(f"{TURN_END}\n"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
 
-    def step(acc: Column, m: Column) -> Column:
-        head = acc["at"] + F.length(escape(m["role"], True)) + len(TURN_START) + 1
-        end = head + F.length(escape(m["text"]))
-        span = F.array(F.struct(head.cast("long").alias("start"), end.cast("long").alias("end")))
-        spans = F.when(m["role"] == "assistant", F.concat(acc["spans"], span)).otherwise(acc["spans"])
-        return F.struct((end + len(TURN_END) + 1).cast("long").alias("at"), spans.alias("spans"))
+    def one(turns: list[dict]) -> tuple[str, list[dict]]:
+        parts, spans, at = [], [], 0
+        for t in turns:
+            head, text = f"{TURN_START}{escape(t['role'], True)}\n", escape(t["text"])
+            if t["role"] == "assistant":
+                spans.append({"start": at + len(head), "end": at + len(head) + len(text)})
+            parts += [head, text, TURN_END, "\n"]
+            at += len(head) + len(text) + len(TURN_END) + 1
+        return "".join(parts), spans
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[int, tuple]]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    text, spans = one(batch.column(1)[i].as_py())
+                    yield len(text), (batch.column(0)[i].as_py(), text, spans)
 
-    return folded.select("conv_id", F.array_join(F.transform("turns", turn), "").alias("formatted"), F.aggregate("turns", start, step)["spans"].alias("loss"))
+        yield from _dealt(rows(), {"conv_id": pa.int64(), "formatted": pa.string(), "loss": _SPANS})
+
+    turns = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    return folded.select(F.col("conv_id").cast("long").alias("conv_id"), turns.alias("turns")).mapInArrow(run, "conv_id long, formatted string, loss array<struct<start:bigint,end:bigint>>")
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
     """(conv_id, turns, loss_texts, formatted) parsed from the rendered text and its loss spans alone."""
-    pieces = F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda x: x != "")
 
-    def turn(x: Column) -> Column:
-        body = F.substring(x, F.lit(len(TURN_START) + 1), F.length(x))
-        cut = F.locate("\n", body)
-        return F.struct(unescape(F.substring(body, F.lit(1), cut - 1)).alias("role"), unescape(F.substring(body, cut + 1, F.length(body))).alias("text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[int, tuple]]:
+            for batch in batches:
+                for conv_id, formatted, loss in zip(*(batch.column(c) for c in ("conv_id", "formatted", "loss")), strict=True):
+                    text, turns = formatted.as_py(), []
+                    for piece in text.split(f"{TURN_END}\n")[:-1]:
+                        role, _, said = piece.removeprefix(TURN_START).partition("\n")
+                        turns.append({"role": unescape(role), "text": unescape(said)})
+                    yield 2 * len(text), (conv_id.as_py(), turns, [unescape(text[s["start"] : s["end"]]) for s in loss.as_py()], text)
+
+        yield from _dealt(rows(), {"conv_id": pa.int64(), "turns": _TURNS, "loss_texts": pa.list_(pa.string()), "formatted": pa.string()})
 
-    masked = F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
-    return rendered.select("conv_id", F.transform(pieces, turn).alias("turns"), masked.alias("loss_texts"), "formatted")
+    return rendered.select("conv_id", "formatted", "loss").mapInArrow(run, "conv_id long, turns array<struct<role:string,text:string>>, loss_texts array<string>, formatted string")

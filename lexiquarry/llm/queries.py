@@ -97,15 +97,24 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write(pages, path, store.table(warc.shared_payloads(pages), "shared"))
     names = ["record_id", "type", "payload_digest", "refers_to", "payload_length", "block"]
     whole = warc.read(spark, path, segmented=False).select(*names)
-    joined = warc.reassemble(warc.read(spark, path, segmented=True)).where("complete").select(*names)
+    joined = warc.reassemble(warc.read(spark, path, segmented=True)).withColumn("block", F.when(F.col("complete"), F.col("block"))).select(*names)
     back = warc.payload(whole.union(joined))
-    revisit = F.col("type") == "revisit"
-    return back.select(
-        warc.urn_page("record_id").alias("page_id"),
-        F.when(revisit, F.col("payload_length")).otherwise(F.length("payload").cast("long")).alias("payload_bytes"),
-        F.when(revisit, F.col("payload_digest")).otherwise(F.sha1("payload")).alias("payload_digest"),
+    facts = back.select(
+        warc.urn_page("record_id").alias("page"),
+        "type",
+        F.col("payload_length").alias("told_bytes"),
+        F.col("payload_digest").alias("told_digest"),
+        warc.urn_page("refers_to").alias("refers"),
+        F.length("payload").cast("long").alias("size"),
+        F.sha1("payload").alias("digest"),
+    )
+    return warc.resolve(store.table(facts, "facts")).select(
+        F.col("page").alias("page_id"),
+        F.col("size").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
         F.col("type").alias("record_type"),
-        warc.urn_page("refers_to").alias("refers_to"),
+        F.col("refers").alias("refers_to"),
+        "verified",
     )
 
 
@@ -173,7 +182,7 @@ WITH p AS (
 m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d) END AS r FROM p)
 SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
   CASE WHEN r <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN r <> page_id THEN r END AS refers_to
+  CASE WHEN r <> page_id THEN r END AS refers_to, TRUE AS verified
 FROM m
 """
 

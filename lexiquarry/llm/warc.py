@@ -6,10 +6,11 @@ archives go to any store that Spark writes to. Pages with equal payloads of
 some size share one response; the others are revisits. Long records are cut
 into a first segment and continuation records.
 
-`read` parses the files by content length. `reassemble` groups continuation
-records by the identifier of their first segment, orders them by segment
-number, and verifies that numbers are whole and lengths add up to the total.
-`payload` decodes the HTTP message, chunked transfer framing included.
+`read` parses the files by content length, a record at a time. `reassemble`
+groups continuation records by the identifier of their first segment, orders
+them by segment number, and verifies that numbers are whole and lengths add up
+to the total. `payload` decodes the HTTP message, chunked transfer framing
+included. `resolve` looks up the responses that revisits refer to.
 """
 
 from __future__ import annotations
@@ -148,20 +149,62 @@ def shared_payloads(pages: DataFrame, least: int = 1000) -> DataFrame:
     return rows.groupBy("payload_digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
 
 
-def parse(data: bytes) -> Iterator[tuple]:
-    """The records of an archive's bytes, as RECORD's fields; raises ValueError where no record begins."""
-    at = 0
+def unpacked(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """An archive's bytes in pieces; a gzip file may hold a member for each record."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[i : i + step] for i in range(0, len(data), step))
+        return
+    at, z = 0, zlib.decompressobj(31)
     while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/", at) or end < 0:
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+        left = data[at : at + step]
+        at += len(left)
+        while left:
+            yield z.decompress(left, step)
+            left = z.unconsumed_tail
+            if z.eof:
+                left, z = z.unused_data, zlib.decompressobj(31)
+    yield z.flush()
+
+
+def parse(pieces: Iterator[bytes]) -> Iterator[tuple]:
+    """The records of an archive that comes in pieces, as RECORD's fields; raises ValueError where no record begins. Holds one record."""
+    pieces = iter(pieces)
+    held, at, passed = bytearray(), 0, 0
+
+    def until(found) -> int:
+        """Takes in pieces until `found` gives a place of what is held, or the end comes (-1)."""
+        nonlocal held, at, passed
+        while (place := found()) < 0:
+            piece = next(pieces, None)
+            if piece is None:
+                return -1
+            if at > 1 << 20:
+                passed += at
+                del held[:at]
+                at = 0
+            held += piece
+        return place
+
+    while until(lambda: at if len(held) > at else -1) >= 0:
+        seen = 0
+
+        def head_ends() -> int:
+            nonlocal seen
+            place = held.find(b"\r\n\r\n", at + max(0, seen - 3))
+            seen = len(held) - at
+            return place
+
+        end = until(head_ends)
+        if not held.startswith(b"WARC/", at) or end < 0:
+            raise ValueError(f"no WARC record at byte {passed + at}")
+        lines = held[at:end].decode("utf-8", "replace").split("\r\n")[1:]
         f = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(f["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) < size:
-            raise ValueError(f"the record at byte {at} is cut off")
-        at = end + 4 + size + 4
+        size, head = int(f["content-length"]), end + 4 - at
+        if until(lambda: at if len(held) >= at + head + size else -1) < 0:  # noqa: B023
+            raise ValueError(f"the record at byte {passed + at} is cut off")
+        block = bytes(held[at + head : at + head + size])
+        until(lambda: at if len(held) >= at + head + size + 4 else -1)  # noqa: B023
+        at = min(len(held), at + head + size + 4)
         digest = f.get("warc-payload-digest", "")
         digest = base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None
         number = {k: int(f[k]) if k in f else None for k in ("x-payload-length", "warc-segment-number", "warc-segment-total-length")}
@@ -173,7 +216,10 @@ def parse(data: bytes) -> Iterator[tuple]:
 
 
 def read(spark: SparkSession, path: str, segmented: bool | None = None) -> DataFrame:
-    """RECORD rows of the archives under `path`, gzipped or plain; `segmented` keeps only segments, or only whole records."""
+    """RECORD rows of the archives under `path`, gzipped or plain; `segmented` keeps only segments, or only whole records.
+
+    A task holds a file as it is stored, and of what is in it one record at a time.
+    """
     kinds = [pa.int64() if c.split()[1] == "long" else pa.binary() if c.split()[1] == "binary" else pa.string() for c in RECORD.split(", ")]
     names = [c.split()[0] for c in RECORD.split(", ")]
 
@@ -183,16 +229,8 @@ def read(spark: SparkSession, path: str, segmented: bool | None = None) -> DataF
 
         for batch in batches:
             for i in range(batch.num_rows):
-                data = batch.column(0)[i].as_py()
-                if data[:2] == b"\x1f\x8b":
-                    members = []
-                    while data:  # a file may hold a member for each record
-                        z = zlib.decompressobj(31)
-                        members.append(z.decompress(data) + z.flush())
-                        data = z.unused_data
-                    data = b"".join(members)
                 rows, held = [], 0
-                for r in parse(data):
+                for r in parse(unpacked(batch.column(0)[i].as_py())):
                     if segmented is None or segmented == (r[7] is not None):
                         rows.append(r)
                         held += len(r[-1])
@@ -242,6 +280,27 @@ def payload(records: DataFrame, block: str = "block") -> DataFrame:
     return plain.mapInArrow(run, records.select(*kept).schema.add("payload", T.BinaryType()))
 
 
+def resolve(facts: DataFrame) -> DataFrame:
+    """`facts` with size and digest of revisits taken from the responses that they refer to, and `verified`.
+
+    facts: page, type, told_bytes, told_digest, refers, size, digest; the last
+    two are a response's own, null if it is broken or incomplete. A response is
+    verified if its payload has the digest that its record tells, a revisit if
+    a response of the page that it refers to has the digest and length that it
+    tells; size and digest are null otherwise, and no record is left out.
+    """
+    own = facts.where("type <> 'revisit' and digest is not null").groupBy(F.col("page").alias("refers"), F.col("digest").alias("told_digest")).agg(F.max("size").alias("found"))
+    both = facts.join(own, ["refers", "told_digest"], "left")
+    revisit = F.col("type") == "revisit"
+    fine = F.when(revisit, F.col("found") == F.col("told_bytes")).otherwise(F.col("digest") == F.col("told_digest"))
+    return both.select(
+        "page", "type", "refers",
+        F.when(revisit, F.col("found")).otherwise(F.col("size")).alias("size"),
+        F.when(revisit, F.when(F.col("found").isNotNull(), F.col("told_digest"))).otherwise(F.col("digest")).alias("digest"),
+        F.coalesce(fine, F.lit(False)).alias("verified"),
+    )
+
+
 def urn_page(column: str) -> Column:
     """The page_id in an identifier, null where there is none."""
     return F.nullif(F.regexp_extract(column, "^urn:x-page:(-?[0-9]*)", 1), F.lit("")).cast("long")

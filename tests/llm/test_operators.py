@@ -1,7 +1,9 @@
+import gzip
 import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -62,7 +64,11 @@ def test_chat_events(spark):
     assert [(t["role"], t["text"]) for t in r["turns"]] == [("user", "hello!"), ("assistant", "go<|od\\c")]
     assert r["loss_texts"] == ["go<|od\\c"]
     assert r["formatted"].count(chat.TURN_START) == 2 and r["formatted"].count("<|") == 4
-    assert chat.fold(df.limit(0)).collect() == []
+    assert chat.fold(df.limit(0)).collect() == [] == chat.read_back(chat.render(chat.fold(df.limit(0)))).collect()
+    long = spark.createDataFrame([(1, 0, "user", "é" * 3_000_000), (1, 1, "assistant", "<|x" * 1_000_000)], "conv_id long, turn int, role string, text string")
+    began = time.time()
+    r = chat.read_back(chat.render(chat.fold(chat.events_of(long)))).first()
+    assert r["turns"][0]["text"] == "é" * 3_000_000 and r["loss_texts"] == ["<|x" * 1_000_000] and time.time() - began < 60
 
 
 def test_chat_round_trip(spark):
@@ -249,6 +255,20 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
     assert got[2] == ("response", big.encode()) and got[1][0] == "revisit" and got[3] == ("response", b"")
     assert got[4][1] == rows[3][2].encode() and got[5] == got[6] == ("response", b"s" * 10) and got[0][1] == b"n"
     assert warc.dechunked(warc.chunked(b"x" * 20_000, 7)) == b"x" * 20_000
+    facts = [(1, "response", None, "d", None, 9, "d"), (2, "revisit", 9, "d", 1, None, None), (3, "revisit", 8, "d", 1, None, None), (4, "revisit", 9, "e", 1, None, None), (5, "response", None, "x", None, None, None)]
+    got = {r["page"]: (r["size"], r["digest"], r["verified"]) for r in warc.resolve(spark.createDataFrame(facts, "page long, type string, told_bytes long, told_digest string, refers long, size long, digest string")).collect()}
+    assert got == {1: (9, "d", True), 2: (9, "d", True), 3: (9, "d", False), 4: (None, None, False), 5: (None, None, False)}
+    archive = b"".join(warc.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<{i}>")], b"x" * i) + b"\r\n" for i in (0, 5, 3_000_000))
+    members = gzip.compress(archive[:200]) + gzip.compress(archive[200:])
+    for data in (archive, gzip.compress(archive), members):
+        for step in (1000, 1 << 20):
+            assert [(r[1], len(r[-1])) for r in warc.parse(warc.unpacked(data, step))] == [("0", 0), ("5", 5), ("3000000", 3_000_000)]
+    for data in (archive[:-50], b"nothing"):
+        with pytest.raises(ValueError):
+            list(warc.parse(warc.unpacked(data)))
+    empty = warc.shared_payloads(pages.limit(0))
+    warc.write(pages.limit(0), str(tmp_path / "none"), empty)
+    assert warc.read(spark, str(tmp_path / "none")).collect() == []
     assert warc.dechunked(b"5\r\nab") is None and warc.http_payload(b"nothing") is None
 
 

@@ -12,7 +12,7 @@ frame with values at random isn't.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,12 @@ from ._store import Store
 WINDOW = 8
 #: Neighbouring shifts whose windows add up.
 BAND = 4
-#: Benchmark windows up to which workers get them all; beyond, only a bitmap of fixed size, and the join settles the rest.
-EXACT_WINDOWS = 2_000_000
-#: Bits of the bitmap of benchmark windows.
-BITMAP = 1 << 24
+#: Bits of the benchmark's Bloom filter for each window, and probes of a window; 2e-3 of other windows pass at most.
+BLOOM_BITS, PROBES = 16, 4
+#: Bits of the filter at least and at most (32 MB, for 16 million windows; beyond, more windows pass, and the join settles them).
+BLOOM_LEAST, BLOOM_MOST = 1 << 20, 1 << 28
+#: Bits of a piece of the filter that tasks make.
+PIECE = 1 << 15
 #: Units that follow a number.
 UNITS = (
     "mm cm m km in inch inches ft feet yd yards mile miles mg g kg t lb lbs oz ml l gal s sec second seconds min minute minutes h hr hour hours day days "
@@ -151,7 +153,7 @@ def _windows(rows: DataFrame, size: int, sizes: list[int] | None = None, wanted=
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        bits, keys = wanted.value if wanted is not None else (None, None)
+        bits = wanted.value if wanted is not None else None
         for batch in batches:
             for part in blocks(batch, "text"):
                 for reading, t in enumerate(templates(part.column("text"))):
@@ -163,12 +165,9 @@ def _windows(rows: DataFrame, size: int, sizes: list[int] | None = None, wanted=
                         if bits is None:
                             at = np.flatnonzero(np.repeat(own == w, np.diff(b)))
                         else:
-                            place = (h >> U(40)).astype(np.int64)
-                            at = np.flatnonzero((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
-                            if keys is not None and len(at):
-                                near = np.searchsorted(keys, h[at])
-                                near[near == len(keys)] = 0
-                                at = at[keys[near] == h[at]]
+                            at = np.arange(len(h))
+                            for place in _places(h, 8 * len(bits)):
+                                at = at[(bits[(p := place(at)) >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0]
                         doc = np.searchsorted(b, at, "right") - 1
                         start = t.bounds[doc] + (at - b[doc])
                         if bits is not None and reading == 2:  # where case tells names, the other readings hold
@@ -195,13 +194,37 @@ def _windows(rows: DataFrame, size: int, sizes: list[int] | None = None, wanted=
     return rows.mapInArrow(run, "id long, reading int, key long, pos long, word long, total long, plain long, cells array<long>")
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """A bitmap of the keys, folded from per-task bitmaps of distinct bytes; the driver gets no more than its size."""
-    cells = keys.select((F.shiftrightunsigned("key", 40)).alias("place")).distinct()
-    cells = cells.groupBy(F.shiftright("place", 3).cast("int").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(place & 7 as int))")).alias("value"))
-    found = cells.toPandas()
-    out = np.zeros(BITMAP // 8, np.uint8)
-    out[found["byte"].to_numpy()] = found["value"].to_numpy().astype(np.uint8)
+def _places(h: np.ndarray, size: int) -> list[Callable[[np.ndarray], np.ndarray]]:
+    """For each probe, the bits of a Bloom filter of `size` bits (a power of two) that some of the keys ask for."""
+    step = lambda at: mix(h[at] ^ U(0x2545F4914F6CDD1D)) | U(1)
+    return [lambda at, i=i: ((h[at] + U(i) * step(at)) & U(size - 1)).astype(np.int64) for i in range(PROBES)]
+
+
+def _bloom(keys: DataFrame, count: int) -> np.ndarray:
+    """The Bloom filter of `count` keys. Tasks make its pieces and merge them by place, so the driver gets no more than its size."""
+    size = min(max(1 << (BLOOM_BITS * count - 1).bit_length(), BLOOM_LEAST), BLOOM_MOST)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        for batch in batches:
+            h = np.asarray(batch.column(0)).view(U)
+            bits = np.unique(np.concatenate([place(np.arange(len(h))) for place in _places(h, size)]))
+            number, first = np.unique(bits // PIECE, return_index=True)
+            found = []
+            for own in np.split(bits % PIECE, first[1:]):
+                one = np.zeros(PIECE, np.uint8)
+                one[own] = 1
+                found.append(np.packbits(one, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int64)), pa.array(found, pa.binary())], names=["piece", "bits"])
+
+    def merged(table: pa.Table) -> pa.Table:
+        out = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()])
+        return pa.table({"piece": table.column("piece")[:1], "bits": pa.array([out.tobytes()], pa.binary())})
+
+    schema = "piece long, bits binary"
+    out = np.zeros(size // 8, np.uint8)
+    for r in keys.select("key").mapInArrow(pieces, schema).groupBy("piece").applyInArrow(merged, schema).collect():
+        out[r["piece"] * PIECE // 8 : (r["piece"] + 1) * PIECE // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
@@ -224,13 +247,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shar
     spark = docs.sparkSession
     store = Store(spark, "decontam")
     items = store.table(_windows(benchmark.select(F.col("item_id").cast("long").alias("id"), "text").dropna(), size), "items")
-    count = items.count()
-    bits = _bitmap(items)
     sizes = sorted(r[0] for r in items.select(F.size("cells")).distinct().collect())
-    keys = None
-    if count <= EXACT_WINDOWS:
-        keys = np.unique(items.select("key").toPandas()["key"].to_numpy(np.int64).view(U))
-    wanted = spark.sparkContext.broadcast((bits, keys if keys is None or len(keys) else None))
+    wanted = spark.sparkContext.broadcast(_bloom(items, items.count()))
     found = _windows(docs.select(F.col("doc_id").cast("long").alias("id"), "text").dropna(), size, sizes, wanted)
     # What is left are places that look like benchmark windows: a small part of the documents' windows.
     hits = store.table(found.select(F.col("id").alias("doc_id"), "key", F.col("pos").alias("dpos"), F.col("word").alias("dword"), F.col("cells").alias("dcells")), "hits")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Buckets of the hash that picks bounded samples.
@@ -40,28 +40,36 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50,
 
 def sparse_logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, size: int, ridge: float = 1e-3, steps: int = 300, rate: float = 0.5) -> tuple[np.ndarray, float]:
     """(weights, constant) by full-batch Adam on entries (rows, cols, values); y (n,) or (n, classes) may be probabilities."""
+    used, cols = np.unique(cols, return_inverse=True)  # only these get weights
+    full, size = size, len(used)
     many = y.ndim == 2
     k = y.shape[1] if many else 1
     target = y if many else y[:, None]
     w, b = np.zeros((size, k)), np.zeros(k)
     m, v = np.zeros((size + 1, k)), np.zeros((size + 1, k))
     n = len(y)
+    by_row, by_col = np.argsort(rows, kind="stable"), np.argsort(cols, kind="stable")
+    lines, at_row = np.unique(rows[by_row], return_index=True)
+    _, at_col = np.unique(cols[by_col], return_index=True)
+    col_r, value_r, row_c, value_c = cols[by_row], values[by_row], rows[by_col], values[by_col]
     for t in range(1, steps + 1):
-        z = np.column_stack([np.bincount(rows, values * w[cols, j], minlength=n) for j in range(k)]) + b
+        z = np.tile(b, (n, 1))
+        if len(lines):
+            for j in range(k):
+                z[lines, j] += np.add.reduceat(value_r * w[:, j][col_r], at_row)
         if many:
             e = np.exp(z - z.max(1, keepdims=True))
             p = e / e.sum(1, keepdims=True)
         else:
             p = sigmoid(z)
         d = (p - target) / n
-        grad = np.vstack([np.column_stack([np.bincount(cols, values * d[rows, j], minlength=size) for j in range(k)]) + ridge * w / n, d.sum(0)])
+        of_col = np.column_stack([np.add.reduceat(value_c * d[:, j][row_c], at_col) for j in range(k)]) if size else w
+        grad = np.vstack([of_col + ridge * w / n, d.sum(0)])
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) * (1 - (t - 1) / steps)
         w -= step[:-1]
         b -= step[-1]
-    return (w, b) if many else (w[:, 0], float(b[0]))
-
-
-def slim(df: DataFrame, *columns: str) -> DataFrame:
-    return df.select(*(F.col(f"`{c}`") for c in columns))
+    out = np.zeros((full, k))
+    out[used] = w
+    return (out, b) if many else (out[:, 0], float(b[0]))

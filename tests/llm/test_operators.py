@@ -417,9 +417,60 @@ def test_decontamination_near_copies(spark):
     assert {(0, 0), (1, 1), (2, 2), (3, 2)} <= got and not any(d == 4 for d, _ in got)
 
 
-def test_licenses_of_all_lines(spark):
+@pytest.fixture(scope="module")
+def license_model(spark):
+    return licenses.train(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+
+
+def found(spark, model, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {r["doc_id"]: [(x["paragraph"], x["lines"], x["family"]) for x in r["licenses"]] for r in licenses.scan(docs, model).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_licenses_of_all_lines(spark, license_model):
     lines = ["SPDX-License-Identifier: MIT", "License: GPLv3", "Licensed under the Eclipse Public License 2.0", "Licensed under the Mozilla Public License 2.0.", "the river was wide and cold"]
-    docs = spark.createDataFrame([(1, "\n\n".join(lines))], DOCS)
-    model = licenses.train(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
-    got = {x["text"]: x["family"] for x in licenses.scan(docs, model).first()["licenses"]}
-    assert got == dict(zip(lines, ["MIT", "GPL", "unknown", "MPL"], strict=False))
+    got = found(spark, license_model, ["\n\n".join(lines)])[0]
+    assert [f for _, _, f in got] == ["MIT", "GPL", "unknown", "MPL"]
+
+
+WRAPPED = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights.",
+    "Apache-2.0": "Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "BSD": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:",
+    "GPL": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License.",
+}
+UNSEEN = [
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appear in all copies.",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License.",
+    "Boost Software License, Version 1.0: permission is hereby granted to any person or organization obtaining a copy.",
+]
+PLAIN = ["The permission to enter was granted by the guard at noon.", "We met the author of the work in a public garden.", "A free copy of the book lies on the table", "The source of the river is high in the hills.", "any version of the story is true", "This."]
+
+
+def test_licenses_wrapped_unseen_and_plain(spark, license_model):
+    texts = [f"Some words of the document.\n\n{t}\n\nThe end." for t in (*WRAPPED.values(), *UNSEEN, *PLAIN)]
+    got = found(spark, license_model, texts)
+    for family, own in zip(WRAPPED, got, strict=False):
+        assert own == [(2, WRAPPED[family].count("\n") + 1, family)], (family, own)
+    unseen = got[len(WRAPPED) : len(WRAPPED) + len(UNSEEN)]
+    assert all({f for _, _, f in own} <= {"unknown"} for own in unseen) and sum(map(bool, unseen)) >= len(UNSEEN) - 1, unseen
+    assert not any(got[len(WRAPPED) + len(UNSEEN) :])
+
+
+def test_licenses_precision_and_recall(spark, license_model):
+    rng = random.Random(77)
+    cases = [(f, " ".join(w for w in t.split() if rng.random() > 0.1)) for f, ts in licenses.TEMPLATES.items() for t in ts for _ in range(5)]
+    got = found(spark, license_model, [t for _, t in cases])
+    told = [[x[2] for x in own if x[2] != "unknown"] for own in got]
+    right = sum(f in own for (f, _), own in zip(cases, told, strict=True))
+    assert right >= 0.85 * len(cases) and right >= 0.97 * sum(map(len, told)), (right, len(cases), sum(map(len, told)))
+
+
+def test_licenses_odd_rows(spark, license_model):
+    rows = [(1, "MIT License", "x"), (1, "MIT License", "x"), (2, "plain words " * 100_000 + "\nReleased under the MIT License.", "y"), (3, None, "z"), (4, " \n\n", "z")]
+    got = sorted((r["doc_id"], [x["family"] for x in r["licenses"]]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, licenses string"), license_model).collect())
+    assert got == [(1, ["MIT"]), (1, ["MIT"]), (2, ["MIT"]), (3, []), (4, [])]
+    blank = licenses.train(spark.createDataFrame([], DOCS))
+    assert licenses.scan(spark.createDataFrame([], DOCS), blank).collect() == []

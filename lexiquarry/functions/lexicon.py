@@ -149,7 +149,22 @@ GLUED_WORDS = {
     "nổimề": "nổi mề",
     "đáitháo": "đái tháo",
 }
-GLUED_WORDS_ENSEMBLE = {("đauhụng" if k == "đaubụng" else k): v for k, v in GLUED_WORDS.items()}
+GLUED_WORDS_ENSEMBLE = {
+    "bịchảy": "bị chảy",
+    "bịho": "bị ho",
+    "bịsốt": "bị sốt",
+    "bịngứa": "bị ngứa",
+    "bịnôn": "bị nôn",
+    "đauđầu": "đau đầu",
+    "đauhọng": "đau họng",
+    "đauhụng": "đau bụng",
+    "đaugực": "đau ngực",
+    "đaulưng": "đau lưng",
+    "đaukhớp": "đau khớp",
+    "chảymáu": "chảy máu",
+    "nổimề": "nổi mề",
+    "đáitháo": "đái tháo",
+}
 # The cleaning rules of entity spans.
 EDGE_MARKS = ".,:;-–—_/+*()[]{}"
 PREFIXES = ("là ", "bị ", "và ", "thì ", "bởi ", "do ", "đã thực hiện ", "thực hiện ", "tiến hành ", "đã chụp ", "chụp ", "đã làm ", "kết quả ")
@@ -193,6 +208,8 @@ RESTORED_SYMPTOMS = (
     "tấy đỏ", "mất ngủ", "lo âu",
 )
 KEPT_DIAGNOSES = ("u ác buồng trứng", "viêm gan", "gút", "gout", "tiểu đường", "đái tháo đường", "xơ gan", "nhồi máu cơ tim")
+# Terms that are symptoms beyond doubt.
+PLAIN_SYMPTOMS = ("khó thở", "ho", "sốt", "đau ngực", "đau đầu", "đau bụng", "buồn nôn", "mệt mỏi", "chóng mặt", "đánh trống ngực")
 # Likely false positives.
 FALSE_EXACT = (
     "men", "men g6pd", "đậu tằm", "long não", "băng phiến", "di truyền", "bệnh di truyền lặn", "không có cải thiện", "không cải thiện",

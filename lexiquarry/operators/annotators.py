@@ -14,6 +14,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
 from .spans import FIELDS
@@ -45,21 +46,21 @@ def annotate(docs: DataFrame, load: Callable[[], Annotator], batch: int = 16, id
 
 
 def keywords(docs: DataFrame, words: dict[str, str], id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Entity rows for whole-word hits, case ignored, of words (a word: its type); longer words first where they begin together."""
+    """Entity rows for whole-word hits, case ignored, of words (a word: its type); longer words first where they begin together.
+
+    A text is cut into hits and what is between them; places are running sums
+    in the document's own window, so the work follows the text's length.
+    """
     found = "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
-    pieces = F.regexp_extract_all(text, F.lit(rf"(?iuU)((?<![\p{{L}}\p{{N}}_])(?:{found})(?![\p{{L}}\p{{N}}_])|(?s:.))"), F.lit(1))
+    hit = rf"(?<![\p{{L}}\p{{N}}_])(?:{found})(?![\p{{L}}\p{{N}}_])"
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?iu)(?:{hit}|(?s:.)(?:(?!{hit})(?s:.))*+)"), F.lit(0))
     table = F.create_map(*(F.lit(v) for k, kind in words.items() for v in (k.lower(), kind)))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string,type:string>>").alias("out"))
-
-    def step(acc, w):
-        end = acc["at"] + F.length(w)
-        kind = F.element_at(table, F.lower(w))
-        hit = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), w.alias("text"), kind.alias("type")))
-        return F.struct(end.alias("at"), F.when(kind.isNotNull(), F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
-
-    rows = docs.select(F.col(id).alias("doc_id"), F.posexplode(F.aggregate(pieces, begin, step)["out"]).alias("ord", "e"))
+    rows = docs.select(F.col(id).alias("doc_id"), F.posexplode(pieces).alias("_k", "text"))
+    w = Window.partitionBy("doc_id").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("end", F.sum(F.length("text")).over(w).cast("int")).withColumn("type", F.element_at(table, F.lower("text"))).where("type is not null")
     none = F.array().cast("array<string>")
-    return rows.select("doc_id", F.col("ord").cast("long").alias("ord"), "e.start", "e.end", "e.text", "e.type", none.alias("assertions"), none.alias("candidates"))
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("_k")).cast("long") - 1
+    return rows.select("doc_id", order.alias("ord"), (F.col("end") - F.length("text")).cast("int").alias("start"), "end", "text", "type", none.alias("assertions"), none.alias("candidates"))
 
 
 class Mock:

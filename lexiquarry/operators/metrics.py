@@ -6,33 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from .spans import _listed, best_partner, spans_of, with_lists
+from .spans import matched, numbered, with_lists
 
 
 def pairs(gold: DataFrame, pred: DataFrame, least: float = 0.5, id: str = "doc_id") -> DataFrame:
     """(doc_id, gold, pred): entities of one type paired greedily by IoU in gold's order; unpaired ones with a null."""
-    xs, ys = _listed(with_lists(gold), "xs", id), _listed(with_lists(pred), "ys", id)
-    kind = "array<struct<ord:bigint,start:bigint,end:bigint,text:string,type:string,assertions:array<string>,candidates:array<string>>>"
-    both = xs.join(ys, id, "full").select(id, *(F.coalesce(F.col(c).cast(kind), F.array().cast(kind)).alias(c) for c in ("xs", "ys")))
-
-    def step(acc: Column, x: Column) -> Column:
-        return F.concat(acc, F.array(F.coalesce(best_partner(x, F.col("_ys"), acc, least), F.lit(-1))))
-
-    both = both.withColumn("_ys", spans_of("ys"))
-    both = both.withColumn("pick", F.aggregate("xs", F.array().cast("array<int>"), step))
-    zipped = F.zip_with("xs", "pick", lambda x, p: F.struct(x.alias("gold"), F.when(p >= 0, F.get(F.col("ys"), p)).alias("pred")))
-    free = F.filter(F.transform("ys", lambda y, i: F.struct(y.alias("y"), i.alias("i"))), lambda z: ~F.array_contains(F.col("pick"), z["i"]))
-    extra = F.transform(free, lambda z: F.struct(F.lit(None).cast(kind[6:-1]).alias("gold"), z["y"].alias("pred")))
-    rows = both.select(id, F.explode(F.concat(zipped, extra)).alias("p"))
-    return rows.select(id, "p.gold", "p.pred")
+    none = F.array().cast("array<string>")
+    one = F.struct("ord", "start", "end", "text", "type", F.coalesce("assertions", none).alias("assertions"), F.coalesce("candidates", none).alias("candidates"))
+    xs, ys = numbered(with_lists(gold), "_x", id), numbered(with_lists(pred), "_y", id)
+    left = xs.select(id, "_x", one.alias("gold")).join(matched(xs, ys, least, id), [id, "_x"], "left")
+    return left.join(ys.select(id, "_y", one.alias("pred")), [id, "_y"], "full").select(id, "gold", "pred")
 
 
 def word_errors(gold: Column, pred: Column) -> Column:
-    """Edit distance in words: each distinct word becomes one character, then Levenshtein."""
+    """Edit distance in words: each distinct word becomes one character, then Levenshtein.
+
+    Time and memory grow with the product of the lengths. Up to 90,000 distinct
+    words have characters; more raise an error.
+    """
     words = lambda x: F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")
     both = F.array_distinct(F.concat(words(gold), words(pred)))
-    coded = lambda x: F.array_join(F.transform(words(x), lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, w) + 0x4E00), 4, "0")), "UTF-16BE")), "")
-    return F.levenshtein(coded(gold), coded(pred))
+    place = lambda w: F.array_position(both, w)
+    # U+10000 onwards, in UTF-32: no code is a surrogate.
+    coded = lambda x: F.array_join(F.transform(words(x), lambda w: F.decode(F.unhex(F.lpad(F.hex(place(w) + 0x10000), 8, "0")), "UTF-32")), "")
+    most = F.raise_error(F.lit("over 90,000 distinct words in one pair"))
+    return F.when(F.size(both) > 90_000, most.cast("int")).otherwise(F.levenshtein(coded(gold), coded(pred)))
 
 
 def text_score(gold: Column, pred: Column) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
-from ..functions.text import clean_codes, plain_words
+from ..functions.text import clean_codes, plain_words, strip
 
 
 def share_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -75,6 +75,29 @@ def discrepancies(entities: DataFrame, linked: DataFrame, keys: list[str]) -> Da
     return both.where(~F.col("own").eqNullSafe(F.col("expected")))
 
 
+def discrepancy_report(entities: DataFrame, linked: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: linkable entities, those without codes, those whose cleaned codes differ from the linked ones, and both shares in %."""
+    eligible = entities.where(F.col("type").isin(*L.LINKED_TYPES))
+    counts = coverage(eligible).select("eligible", "empty")
+    wrong = discrepancies(eligible, linked, keys).agg(F.count("*").alias("wrong"))
+    share = lambda c: F.when(F.col("eligible") > 0, F.col(c) / F.col("eligible") * 100).otherwise(0.0)
+    return counts.join(F.broadcast(wrong)).select("eligible", "empty", "wrong", share("wrong").alias("wrong_pct"), share("empty").alias("empty_pct"))
+
+
+def corrupted_symptoms(entities: DataFrame) -> DataFrame:
+    """(text, n): how often each plain symptom term is a diagnosis, most often first; the total has a null text and comes first."""
+    text = F.lower(strip(F.coalesce("text", F.lit(""))))
+    rows = entities.where((F.col("type") == L.DIAGNOSIS) & text.isin(*L.PLAIN_SYMPTOMS)).select(text.alias("text"))
+    return rows.rollup("text").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.col("text").asc_nulls_first())
+
+
+def observed(entities: DataFrame, name: str = "run") -> tuple[DataFrame, Observation]:
+    """The same rows, and an observation that has after the first action on them: entities, documents (about), linked ones and the last document's id."""
+    seen = Observation(name)
+    has = F.size(F.coalesce("candidates", F.array().cast("array<string>"))) > 0
+    return entities.observe(seen, F.count(F.lit(1)).alias("entities"), F.approx_count_distinct("doc_id").alias("documents"), F.count_if(has).alias("linked"), F.max("doc_id").alias("last_doc")), seen
+
+
 def top_counts(df: DataFrame, key: str, order: str, n: int | None = None) -> DataFrame:
     """(key, n, first) by falling count, ties by first occurrence in `order`; the first n."""
     out = df.groupBy(key).agg(F.count("*").alias("n"), F.min(order).alias("first_seen")).orderBy(F.desc("n"), "first_seen")

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -233,12 +235,6 @@ def iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Colum
     return F.when(inter > 0, inter / union).otherwise(F.lit(0.0))
 
 
-def _listed(entities: DataFrame, name: str, id: str) -> DataFrame:
-    none = F.array().cast("array<string>")
-    one = F.struct("ord", "start", "end", "text", "type", F.coalesce("assertions", none).alias("assertions"), F.coalesce("candidates", none).alias("candidates"))
-    return entities.groupBy(id).agg(F.array_sort(F.collect_list(one)).alias(name))
-
-
 def with_lists(entities: DataFrame) -> DataFrame:
     """Entities with empty lists where an annotator gives no assertions or candidates."""
     for c in ("assertions", "candidates"):
@@ -247,56 +243,79 @@ def with_lists(entities: DataFrame) -> DataFrame:
     return entities
 
 
-def spans_of(entities: str) -> Column:
-    """The places, spans and types of an entity list, for `best_partner`."""
-    return F.transform(entities, lambda y, i: F.struct(i.alias("i"), y["start"].alias("start"), y["end"].alias("end"), y["type"].alias("type")))
+#: Characters of a stretch in which overlapping spans are looked for.
+STRETCH = 64
 
 
-def best_partner(x: Column, ys: Column, used: Column, least: float) -> Column:
-    """The place of the free y of x's type with the largest IoU of at least `least`, the first of equals; null without one."""
-    near = F.filter(ys, lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"]) & (y["type"] == x["type"]) & ~F.array_contains(used, y["i"]))
-    scored = F.transform(near, lambda y: F.struct(iou(x["start"], x["end"], y["start"], y["end"]).alias("iou"), (-y["i"]).alias("first")))
-    return (-F.array_max(F.filter(scored, lambda z: z["iou"] >= least))["first"]).cast("int")
+def numbered(entities: DataFrame, name: str, id: str = "doc_id") -> DataFrame:
+    """Entities with their place in their document's list."""
+    order = Window.partitionBy(id).orderBy("ord", "start", "end", "text", "type")
+    return entities.withColumn(name, F.row_number().over(order).cast("long") - 1)
+
+
+def matched(a: DataFrame, b: DataFrame, least: float, id: str = "doc_id") -> DataFrame:
+    """(doc_id, _x, _y): in a's order each entity takes the free entity of b of its type with the largest IoU of at least `least`, the first of equals.
+
+    a and b are `numbered` (_x, _y). Candidates come from an equi-join by
+    document, type and stretch of text; only those narrow rows are walked in
+    order, document by document, so the work follows the overlaps there are.
+    """
+
+    def laid(df: DataFrame, name: str, tag: str) -> DataFrame:
+        rows = df.where("end > start").select(id, "type", name, F.col("start").cast("long").alias(f"{tag}_start"), F.col("end").cast("long").alias(f"{tag}_end"))
+        stretch = lambda c: F.floor(F.col(c) / STRETCH)
+        return rows.withColumn("_k", F.explode(F.sequence(stretch(f"{tag}_start"), F.floor((F.col(f"{tag}_end") - 1) / STRETCH))))
+
+    both = laid(a, "_x", "_a").join(laid(b, "_y", "_b"), [id, "type", "_k"])
+    both = both.where("_a_start < _b_end and _b_start < _a_end").where(F.col("_k") == F.floor(F.greatest("_a_start", "_b_start") / STRETCH))
+    share = iou(F.col("_a_start"), F.col("_a_end"), F.col("_b_start"), F.col("_b_end"))
+    both = both.select(id, "_x", "_y", share.alias("_iou")).where(F.col("_iou") >= least)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, last, used = None, -1, set()
+        for batch in batches:
+            taken = []
+            for i, (d, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if d != doc:
+                    doc, last, used = d, -1, set()
+                if x != last and y not in used:
+                    used.add(y)
+                    last = x
+                    taken.append(i)
+            yield batch.take(pa.array(taken, pa.int64())).select([id, "_x", "_y"])
+
+    rows = both.repartition(id).sortWithinPartitions(id, "_x", F.desc("_iou"), "_y")
+    return rows.mapInArrow(walk, both.select(id, "_x", "_y").schema)
 
 
 def merge(a: DataFrame, b: DataFrame, least: float = 0.5, reset_b: bool = False, id: str = "doc_id") -> DataFrame:
     """Two annotators' entities as one list: (doc_id, ord, FIELDS, origin).
 
-    In a's order each entity takes the unmatched entity of b of its type with
-    the largest IoU of at least `least`, the first of equals; the pair has b's
-    span and text, a's assertions and candidates. Then come a's unmatched
-    entities, then b's (with `reset_b` without assertions and candidates); the
-    list is sorted by start, ties in that order. A document's lists are folded
-    together, so overlaps and ties are settled as a sequence; memory is
-    bounded by one document.
+    Entities pair up as `matched` says; a pair has b's span and text, a's
+    assertions and candidates. Then come a's unmatched entities, then b's (with
+    `reset_b` without assertions and candidates); the list is sorted by start,
+    ties in that order.
     """
-    both = _listed(with_lists(a), "xs", id).join(_listed(with_lists(b), "ys", id), id, "full")
-    kind = "array<struct<ord:bigint,start:bigint,end:bigint,text:string,type:string,assertions:array<string>,candidates:array<string>>>"
-    as_list = lambda c: F.coalesce(F.col(c).cast(kind), F.array().cast(kind))
-    both = both.select(id, as_list("xs").alias("xs"), as_list("ys").alias("ys"))
-    begin = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<int>").alias("pick"))
-
-    def step(acc: Column, x: Column) -> Column:
-        place = best_partner(x, F.col("_ys"), acc["used"], least)
-        return F.struct(F.when(place.isNotNull(), F.concat(acc["used"], F.array(place))).otherwise(acc["used"]).alias("used"), F.concat(acc["pick"], F.array(place)).alias("pick"))
-
-    both = both.withColumn("_ys", spans_of("ys"))
-    both = both.withColumn("m", F.aggregate("xs", begin, step))
+    xs, ys = numbered(with_lists(a), "_x", id), numbered(with_lists(b), "_y", id)
     none = F.array().cast("array<string>")
-
-    def entity(e: Column, phase: int, rank: Column, origin: str, **own: Column) -> Column:
-        part = {c: own.get(c, e[c]) for c in FIELDS}
-        return F.struct(part["start"].alias("start"), F.lit(phase).alias("phase"), rank.cast("long").alias("rank"), *(part[c].alias(c) for c in FIELDS[1:]), F.lit(origin).alias("origin"))
-
-    zipped = F.zip_with("xs", "m.pick", lambda x, p: F.struct(x.alias("x"), p.alias("p")))
-    pairs = F.filter(zipped, lambda z: z["p"].isNotNull())
-    paired = F.transform(pairs, lambda z, i: entity(F.get(F.col("ys"), z["p"]), 0, i, "both", assertions=z["x"]["assertions"], candidates=z["x"]["candidates"]))
-    only_a = F.transform(F.filter(zipped, lambda z: z["p"].isNull()), lambda z, i: entity(z["x"], 1, i, "a"))
-    numbered = F.transform("ys", lambda y, i: F.struct(y.alias("y"), i.alias("i")))
-    reset = {"assertions": none, "candidates": none} if reset_b else {}
-    only_b = F.transform(F.filter(numbered, lambda z: ~F.array_contains(F.col("m.used"), z["i"])), lambda z, i: entity(z["y"], 2, i, "b", **reset))
-    merged = both.select(id, F.posexplode(F.array_sort(F.concat(paired, only_a, only_b))).alias("ord", "e"))
-    return merged.select(id, F.col("ord").cast("long"), *(F.col(f"e.{c}").alias(c) for c in FIELDS), "e.origin")
+    as_one = lambda: F.struct(*(F.coalesce(c, none).alias(c) if c in ("assertions", "candidates") else F.col(c) for c in FIELDS))
+    left = xs.select(id, "_x", as_one().alias("a")).join(matched(xs, ys, least, id), [id, "_x"], "left")
+    both = left.join(ys.select(id, "_y", as_one().alias("b")), [id, "_y"], "full")
+    pair, only_a = F.col("a").isNotNull() & F.col("b").isNotNull(), F.col("b").isNull()
+
+    def field(c: str) -> Column:
+        own = F.col(f"b.{c}")
+        if c in ("assertions", "candidates"):
+            return F.when(F.col("a").isNotNull(), F.col(f"a.{c}")).otherwise(none if reset_b else own)
+        return F.when(only_a, F.col(f"a.{c}")).otherwise(own)
+
+    rows = both.select(
+        id, *(field(c).alias(c) for c in FIELDS),
+        F.when(pair, "both").when(only_a, "a").otherwise("b").alias("origin"),
+        F.when(pair, 0).when(only_a, 1).otherwise(2).alias("_phase"), F.coalesce("_x", "_y").alias("_rank"),
+    )
+    order = F.row_number().over(Window.partitionBy(id).orderBy("start", "_phase", "_rank")).cast("long") - 1
+    return rows.select(id, order.alias("ord"), *FIELDS, "origin")
 
 
 def dedup_by_priority(entities: DataFrame, id: str = "doc_id") -> DataFrame:

@@ -1,10 +1,11 @@
+import difflib
 import random
 import unicodedata
 
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import lexicon as L
-from lexiquarry.operators import assertions, bio, linking, metrics, spans, tokens
+from lexiquarry.operators import annotators, assertions, bio, linking, metrics, profile, spans, tokens
 
 E = "doc_id long, ord long, start int, end int, text string, type string, assertions array<string>, candidates array<string>"
 
@@ -161,6 +162,56 @@ def test_dictionaries_and_cascade(spark):
     assert got["amlodipin"] == "substring"
 
 
+def test_fuzzy_loses_nothing(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcde") for _ in range(n))
+    names = sorted({word(rng.randint(1, 14)) for _ in range(120)})
+    asked = {word(rng.randint(1, 14)) for _ in range(60)}
+    for n in names[:60]:
+        k = rng.randrange(len(n))
+        asked |= {n[:k] + rng.choice("abcde") + n[k + 1 :], n[:k] + n[k + 1 :] or "a", n[:k] + "e" + n[k:]}
+    table = spark.createDataFrame([(n, n, i) for i, n in enumerate(names)], "name string, code string, ord long")
+    queries = spark.createDataFrame([(q,) for q in asked], "q string")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+            row = new
+        return 1 - row[-1] / max(len(a), len(b))
+
+    score = {"blocks": lambda q, n: difflib.SequenceMatcher(None, n, q).ratio(), "edits": edits}
+    for scorer, cutoff in (("blocks", 0.8), ("blocks", 0.88), ("edits", 0.8)):
+        want = {q: max((score[scorer](q, n), n) for n in names) for q in sorted(asked)}
+        want = {q: n for q, (v, n) in want.items() if v >= cutoff}
+        assert {r["q"]: r["code"] for r in linking.fuzzy(queries, table, cutoff, scorer).collect()} == want
+
+
+def test_semantic_leaves_out_all_of_the_own_name(spark):
+    v = spark.createDataFrame([("a", "1", 0, [1.0, 0.0]), ("a", "2", 1, [1.0, 0.1]), ("b", "3", 2, [0.9, 0.3])], "name string, code string, ord long, v array<double>")
+    got = linking.semantic(v.where("code = '1'").select(F.col("name").alias("q"), "v"), v, 0.0, same=False).first()
+    assert (got["name"], got["code"]) == ("b", "3")
+
+
+def test_keywords_in_a_long_text(spark):
+    text = "x" * 400_000 + " no Dans con " + "é" * 400_000 + " nocon con"
+    got = annotators.keywords(docs(spark, text, None, ""), {"con": L.DRUG, "dans": L.TEST, "dans con": L.SYMPTOM}).orderBy("ord").collect()
+    assert [(r["text"], r["type"], text[r["start"] : r["end"]]) for r in got] == [("Dans con", L.SYMPTOM, "Dans con"), ("con", L.DRUG, "con")]
+
+
+def test_groups_reports_and_counters(spark):
+    pieces = [(0, 0, "a", "B-X", 0, 1), (0, 1, "##b", "I-X", 1, 2), (0, 2, "c", "B-X", 3, 4), (0, 3, "d", "I-Y", 5, None)]
+    got = bio.simple_groups(spark.createDataFrame(pieces, "doc_id long, ord long, word string, tag string, start int, end int")).orderBy("ord").collect()
+    assert [(r["text"], r["start"], r["end"], r["type"]) for r in got] == [("ab", 0, 2, "X"), ("c", 3, 4, "X")]
+    rows, seen = profile.observed(entities(spark, [(0, 0, 0, 1, "a", L.DRUG, [], ["1"]), (5, 0, 0, 1, "b", L.DRUG, [], [])]))
+    rows.collect()
+    assert seen.get == {"entities": 2, "documents": 2, "linked": 1, "last_doc": 5}
+    words = spark.createDataFrame([(" ".join(f"w{i}" for i in range(40_000)), "w1")], "g string, p string")
+    assert words.select(metrics.word_errors(F.col("p"), F.col("p")).alias("e")).first()["e"] == 0
+
+
 def test_scores(spark):
     s = spark.createDataFrame([("ho đờm xanh nhiều", "ho xanh đặc nhiều")], "g string, p string")
     r = s.select(metrics.word_errors(F.col("g"), F.col("p")).alias("e"), metrics.text_score(F.col("g"), F.col("p")).alias("t")).first()

@@ -46,10 +46,11 @@ def in_order(docs: DataFrame) -> DataFrame:
 
 
 def text_files_any_encoding(spark: SparkSession, path: str) -> DataFrame:
-    """Like `text_files`, from bytes: bytes that are no UTF-8 become U+FFFD, and a byte order mark goes."""
+    """Like `text_files`: bytes that are no UTF-8 become U+FFFD, and a byte order mark goes."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
     text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^﻿", "")
-    return rows.select(stem(F.col("path")).alias("stem"), stem(F.col("path")).try_cast("long").alias("doc_id"), "path", text.alias("text"))
+    rows = rows.select("path", text.alias("text")).union(spark.createDataFrame([(p, "") for p in _empty_files(spark, path, ".txt", False)], "path string, text string"))
+    return rows.select(stem(F.col("path")).alias("stem"), stem(F.col("path")).try_cast("long").alias("doc_id"), "path", "text")
 
 
 def entity_files(spark: SparkSession, path: str, docs: DataFrame | None = None) -> DataFrame:
@@ -67,7 +68,12 @@ def entity_files(spark: SparkSession, path: str, docs: DataFrame | None = None)
         F.get("e.position", F.lit(0)).alias("start"), F.get("e.position", F.lit(1)).alias("end"), "e.text", "e.type",
         F.coalesce("e.assertions", none).alias("assertions"), F.coalesce("e.candidates", none).alias("candidates"),
     )
-    return out if docs is None else docs.select("doc_id").join(out, "doc_id", "left")
+    if docs is None:
+        return out
+    # Stems tell documents apart that have no number; tables that don't come from files have none.
+    if "stem" in docs.columns:
+        return docs.select("stem", "doc_id").join(out.drop("doc_id"), "stem", "left").select(out.columns)
+    return docs.select("doc_id").join(out, "doc_id", "left")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

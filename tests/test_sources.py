@@ -18,7 +18,7 @@ def test_text_and_entity_files(spark, tmp_path):
     docs = readers.text_files(spark, str(tmp_path / "in"))
     assert [r["stem"] for r in readers.in_order(docs).collect()] == ["2", "10", "note"]
     assert {r["stem"]: r["text"] for r in docs.collect()}["10"] == "đau\nđầu"
-    assert {r["stem"]: r["text"] for r in readers.text_files_any_encoding(spark, str(tmp_path / "in")).collect()}["note"] == "bad � byte"
+    assert {r["stem"]: r["text"] for r in readers.text_files_any_encoding(spark, str(tmp_path / "in")).collect()} == {"10": "đau\nđầu", "2": "", "note": "bad � byte"}
     (tmp_path / "e").mkdir()
     (tmp_path / "e" / "10.json").write_text(json.dumps([{"text": "đau", "position": [0, 3], "type": L.SYMPTOM}, {"text": "x", "position": None, "type": L.DRUG}]))
     (tmp_path / "e" / "2.json").write_text("broken")
@@ -26,6 +26,11 @@ def test_text_and_entity_files(spark, tmp_path):
     got = readers.entity_files(spark, str(tmp_path / "e")).orderBy("ord").collect()
     assert [(r["doc_id"], r["text"], r["start"], r["candidates"]) for r in got] == [(10, "đau", 0, []), (10, "x", None, [])]
     assert readers.entity_files(spark, str(tmp_path / "e"), docs).where("text is null").count() == 2
+    (tmp_path / "e" / "note.json").write_text(json.dumps([{"text": "y", "position": [0, 1], "type": L.DRUG}]))
+    placed = readers.entity_files(spark, str(tmp_path / "e"), docs)
+    assert sorted((r["stem"], r["doc_id"], r["text"] or "") for r in placed.collect()) == [("10", 10, "x"), ("10", 10, "đau"), ("2", 2, ""), ("note", None, "y")]
+    assert placed.columns == readers.entity_files(spark, str(tmp_path / "e")).columns
+    assert readers.entity_files(spark, str(tmp_path / "e"), docs.select("doc_id", "text")).where("text = 'x'").count() == 1
 
 
 def test_writers(spark, tmp_path):

@@ -10,6 +10,7 @@ import difflib
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -85,6 +86,42 @@ def _spots(low: str, needle: str) -> list[int]:
     return out
 
 
+def most_similar(text: str, window: str, slack: int = 15, least: float = 0.70) -> tuple[int, int] | None:
+    """(start, end) of the slice of `window` most similar to `text` by matching blocks: of equal ones the shortest, then the first.
+
+    Slices are up to `slack` characters shorter or longer than the text and
+    score `least` or more. Shared characters bound the similarity; they are
+    counted for all slices at once, and slices are compared from the greatest
+    bound down until no bound reaches the best score.
+    """
+    codes = np.frombuffer(window.encode("utf-32-le"), np.uint32)
+    chars, own = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_counts=True)
+    seen = np.zeros((len(codes) + 1, len(chars)), np.int32)
+    np.cumsum(codes[:, None] == chars, axis=0, out=seen[1:])
+    sizes, starts, bounds = [], [], []
+    for n in range(max(1, len(text) - slack), min(len(codes), len(text) + slack) + 1):
+        bound = 2.0 * np.minimum(seen[n:] - seen[:-n], own).sum(1) / (len(text) + n)
+        at = np.flatnonzero(bound >= least)
+        sizes.append(np.full(len(at), n))
+        starts.append(at)
+        bounds.append(bound[at])
+    if not sizes:
+        return None
+    size, start, bound = (np.concatenate(x) for x in (sizes, starts, bounds))
+    matcher = difflib.SequenceMatcher(None)
+    matcher.set_seq1(text)
+    best = None
+    for k in np.argsort(-bound, kind="stable").tolist():
+        if best and bound[k] < -best[0]:
+            break
+        s, n = int(start[k]), int(size[k])
+        matcher.set_seq2(window[s : s + n])
+        score = matcher.ratio()
+        if score >= least and (best is None or (-score, n, s) < best):
+            best = (-score, n, s)
+    return (best[2], best[2] + best[1]) if best else None
+
+
 @F.pandas_udf(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 def _relocate(doc: pd.Series, text: pd.Series, hint: pd.Series, fuzzy: pd.Series, compat: pd.Series) -> pd.DataFrame:
     """Places for mentions that the text doesn't hold literally: composed forms first, then the most similar window."""
@@ -99,17 +136,8 @@ def _relocate(doc: pd.Series, text: pd.Series, hint: pd.Series, fuzzy: pd.Series
         if not fuzz:
             return None, None
         low = max(0, h - 80)
-        window = d[low : h + len(t) + 80].lower()
-        lengths = range(max(1, len(t) - 15), min(len(window), len(t) + 15) + 1)
-        matcher = difflib.SequenceMatcher(None)
-        matcher.set_seq1(t.lower())
-        top, place = 0.0, None
-        for n in lengths:
-            for s in range(len(window) - n + 1):
-                matcher.set_seq2(window[s : s + n])
-                if matcher.real_quick_ratio() > top and matcher.quick_ratio() > top and (r := matcher.ratio()) > top:
-                    top, place = r, (low + s, low + s + n)
-        return place if place and top >= 0.70 else (None, None)
+        place = most_similar(t.lower(), d[low : h + len(t) + 80].lower())
+        return (low + place[0], low + place[1]) if place else (None, None)
 
     found = [one(*r) for r in zip(doc, text, hint, fuzzy, compat, strict=True)]
     return pd.DataFrame(found, columns=["start", "end"]).astype("Int32")

@@ -227,3 +227,22 @@ def test_version_diff(spark):
     old = entities(spark, [(0, 0, 0, 1, "a", L.DRUG), (0, 1, 2, 3, "b", L.DRUG), (0, 2, 4, 5, "c", L.DRUG)])
     new = entities(spark, [(0, 0, 0, 1, "a", L.DRUG), (0, 1, 3, 4, "b", L.DRUG), (0, 2, 4, 5, "d", L.DRUG)])
     assert {r["text"]: r["change"] for r in spans.version_diff(old, new).collect()} == {"b": "modified", "c": "missing", "d": "new"}
+
+
+def test_most_similar_equals_all_windows():
+    def slow(t, window):
+        top, place = 0.0, None
+        for n in range(max(1, len(t) - 15), min(len(window), len(t) + 15) + 1):
+            for s in range(len(window) - n + 1):
+                r = difflib.SequenceMatcher(None, t, window[s : s + n]).ratio()
+                if r > top:
+                    top, place = r, (s, s + n)
+        return place if place and top >= 0.70 else None
+
+    rng = random.Random(5)
+    for _ in range(150):
+        window = "".join(rng.choice("abcé \n") for _ in range(rng.randint(0, 60)))
+        s = rng.randint(0, max(len(window) - 8, 0))
+        t = "".join(rng.choice("abcx ") if rng.random() < 0.2 else c for c in window[s : s + rng.randint(4, 14)])
+        assert not t or spans.most_similar(t, window) == slow(t, window)
+    assert spans.most_similar("abc", "") is None

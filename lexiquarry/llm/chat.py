@@ -97,7 +97,11 @@ def _dealt(found: Iterator[tuple[int, tuple]], kinds: dict[str, pa.DataType]) ->
 
 
 def render(folded: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss): the template's text and the [start, end) code points of the assistant texts in it."""
+    """(conv_id, formatted, loss): the template's text and the [start, end) code points of the assistant texts in it.
+
+    An empty text is a turn like others, with an empty span if it is the
+    assistant's; no conversations give no rows. Other columns are not read.
+    """
 
     def one(turns: list[dict]) -> tuple[str, list[dict]]:
         parts, spans, at = [], [], 0

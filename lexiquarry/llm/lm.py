@@ -147,7 +147,11 @@ def _tidy(spark: SparkSession) -> Iterator[None]:
 
 
 def train(docs: DataFrame, s: Shape = Shape(), text: str = "text", where: Column | None = None) -> Model:
-    """A model of all texts of `docs`, or of those `where` a condition holds; models of one frame are counted in one pass."""
+    """A model of all texts of `docs`, or of those `where` a condition holds; models of one frame are counted in one pass.
+
+    Null, empty and blank texts add nothing, repeated rows add each time. A
+    model of no text has no counts: every word is equally unlikely in it.
+    """
     return Model(docs, text, F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
 
 

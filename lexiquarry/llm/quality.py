@@ -227,7 +227,10 @@ def train(docs: DataFrame, bound: int = 6000, id: str = "doc_id", text: str = "t
     """Learn from all documents' votes; the scorer from about `bound` documents drawn by a hash of their id.
 
     The driver gets the counts of vote patterns (no more than 3 ** labellers)
-    and the drawn documents' shapes.
+    and the drawn documents' shapes. Null, empty and blank texts vote like all
+    others, null ones don't train the scorer; repeated rows count each time.
+    Without any documents the scorer is untrained: 0.5 for every text with words.
+    Other columns are not read.
     """
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     store = Store(docs.sparkSession, "quality")
@@ -251,8 +254,9 @@ def train(docs: DataFrame, bound: int = 6000, id: str = "doc_id", text: str = "t
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`docs` with `quality` (0 to 1) and `good` (from 0.5 on).
 
-    Null, empty and blank texts have quality 0. Columns of the two names are
-    replaced, all others kept.
+    Null, empty and blank texts have quality 0. A row is judged by its whole
+    text alone, however long, so repeated rows get equal values. Columns of
+    the two names are replaced, all others kept.
     """
     new = ("quality", "good")
     kept = [c for c in docs.columns if c not in new]

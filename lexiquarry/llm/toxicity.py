@@ -178,7 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 20_000, prior: float
     docs: doc_id, text; labels: doc_id, toxic. About `bound` labelled rows are
     drawn by a hash of their id, four fifths for token counts and one for the
     extreme-value and logistic fits; so the model's size and what the driver
-    gets are bounded. Rows with a null id, text or label tell nothing. Without
+    gets are bounded. Rows with a null id, text or label tell nothing, nor do
+    labels of ids without a document; repeated labels count each time. Without
     rows of both labels the model finds nothing toxic and gives a constant score.
     """
     labels = labels.select("doc_id", "toxic").dropna()
@@ -231,8 +232,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     Passages are the significant maximal segments; start and end count code
     points of the lower-cased text. Null and empty texts have no passage and
-    the score of a text without toxic words. Columns of the three names are
-    replaced, all others kept.
+    the score of a text without toxic words. Texts are read whole, however long,
+    and repeated rows get equal values; a null id is no obstacle. Columns of the
+    three names are replaced, all others kept.
     """
     new = ("score", "predicted", "passages")
     kept = [c for c in docs.columns if c not in new]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontam, licenses, lm, minhash, quality, toxicity, warc
+from . import ann, bpe, chat, decontam, licenses, lm, minhash, phrases, quality, toxicity, warc
 from ._store import Store
 
 
@@ -122,6 +122,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": op1_licenses,
@@ -134,6 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_warc": op9_warc,
         "op10_decontamination": op10_decontamination,
+        "op11_phrases": op11_phrases,
     }
 
 
@@ -187,9 +192,35 @@ FROM m
 """
 
 
+OP11_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (
+  SELECT lang, 1 AS k, unnest(w) AS g FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cut AS (SELECT *, unnest(range(1, k)) AS j FROM c),
+s AS (
+  SELECT cut.lang, cut.k, cut.g, cut.a, cut.w, j, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.g = array_to_string(w[1:j], ' ') AND x.k = j JOIN f y ON y.lang = cut.lang AND y.g = array_to_string(w[j + 1:], ' ') AND y.k = cut.k - j),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, k, g ORDER BY score, j) = 1),
+d AS (
+  SELECT b.* FROM b WHERE k = 3 OR NOT EXISTS (
+    SELECT 1 FROM (SELECT lang, array_to_string(w[1:2], ' ') AS h, a AS z FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE k = 3) e
+    WHERE e.lang = b.lang AND e.h = b.g AND 100 * e.z >= 50 * b.a)),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, score::BIGINT AS score FROM d)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_chat_format": OP3_SQL,
         "op8_minhash_near_dedup": OP8_SQL,
         "op9_warc": OP9_SQL,
+        "op11_phrases": OP11_SQL,
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontam, licenses, lm, minhash, phrases, quality, toxicity, warc
+from . import ann, bpe, centroids, chat, decontam, licenses, lm, minhash, phrases, quality, sharding, toxicity, warc
 from ._store import Store
 
 
@@ -126,6 +126,15 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(_table(spark, sf_dir, "documents"))
 
 
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = sharding.pack(_table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.assign(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": op1_licenses,
@@ -139,6 +148,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_warc": op9_warc,
         "op10_decontamination": op10_decontamination,
         "op11_phrases": op11_phrases,
+        "op12_shards": op12_shards,
+        "op13_centroids": op13_centroids,
     }
 
 
@@ -217,10 +228,28 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN t USING (lang) WHERE ra
 """
 
 
+def _op13_sql(rounds: int = 5) -> str:
+    near = "a{i} AS MATERIALIZED (SELECT v.row, arg_min(c.c, (d, c.c)) AS cluster, min(d) AS d FROM (SELECT row, c, list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{i}) c JOIN v USING (row) GROUP BY v.row)"
+    mean = """s{i} AS (SELECT cluster, j, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS j FROM a{i} JOIN v USING (row)) GROUP BY ALL),
+m{i} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY j) AS m FROM s{i} GROUP BY cluster),
+c{k} AS MATERIALIZED (SELECT c, coalesce(m{i}.m, c{i}.m) AS m FROM c{i} LEFT JOIN m{i} ON cluster = c)"""
+    steps = [x for i in range(rounds) for x in (near.format(i=i), mean.format(i=i, k=i + 1))]
+    return f"""
+WITH k AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM k),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS m FROM (SELECT sha256('2:' || vec_id) AS h, v FROM v ORDER BY h LIMIT 40)),
+{", ".join(steps)},
+{near.format(i=rounds)}
+SELECT vec_id, cluster::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (row) JOIN c{rounds} ON c = cluster
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_chat_format": OP3_SQL,
         "op8_minhash_near_dedup": OP8_SQL,
         "op9_warc": OP9_SQL,
         "op11_phrases": OP11_SQL,
+        "op13_centroids": _op13_sql(),
     }

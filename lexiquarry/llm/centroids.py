@@ -142,7 +142,7 @@ def _starts(vectors: DataFrame, c: Clustering) -> np.ndarray:
     """The vectors of the smallest digests of their ids; null ids come last, repeated ones by their components."""
     digest = F.sha2(F.concat(F.lit(f"{c.seed}:"), F.col("vec_id").cast("string")), 256)
     first = vectors.select(digest.alias("h"), "v").orderBy(F.col("h").asc_nulls_last(), "v").limit(c.clusters).collect()
-    return np.array([r["v"] for r in first], np.int64).reshape(len(first), -1)
+    return np.array([r["v"] for r in first], np.int64).reshape(len(first), c.width)
 
 
 def assign(vectors: DataFrame, c: Clustering = Clustering()) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,45 +35,63 @@ def unescape(text: str) -> str:
     return text.replace("\\d", "\n").replace("\\c", "<|").replace("\\b", "\\")
 
 
-def events_of(rows: DataFrame, piece: int = 256) -> DataFrame:
+def events_of(rows: DataFrame, piece: int = 256, reworked: bool = False) -> DataFrame:
     """The event log of finished conversations (conv_id, turn, role, text): each row is opened and streamed in pieces.
 
     Rows are numbered by turn; rows of the same turn by role and text, so
-    repeated rows stay as messages of their own.
+    repeated rows stay as messages of their own. With `reworked` the log has,
+    by a hash of the text, drafts that are regenerated, drafts that an edit
+    replaces, and events that are delivered twice; it folds to the same rows.
     """
     order = Window.partitionBy("conv_id").orderBy(F.col("turn"), F.col("role"), F.col("text"))
     numbered = rows.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(order).cast("long").alias("msg"))
-    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
-    texts = F.concat(F.array(F.lit(None).cast("string")), pieces)
-    out = numbered.select("conv_id", "msg", "role", F.posexplode(texts).alias("k", "text"))
-    return out.select("conv_id", (F.col("msg") * (1 << 31) + F.col("k")).alias("seq"), F.when(F.col("k") == 0, "open").otherwise("delta").alias("kind"), "msg", "role", "text")
+
+    def event(kind: str, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.cast("string").alias("text"))
+
+    nothing = F.lit(None)
+    opened, deltas = F.array(event("open", nothing)), F.transform(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0)), lambda t: event("delta", t))
+    events, times = F.concat(opened, deltas), F.lit(1)
+    if reworked:
+        draft = F.array(event("delta", F.reverse("text")))
+        way = F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(4))
+        again = F.concat(opened, draft, F.array(event("regenerate", nothing)), deltas)
+        edited = F.concat(opened, draft, F.array(event("edit", F.col("text"))))
+        events, times = F.when(way == 1, again).when(way == 2, edited).otherwise(events), F.when(way == 3, 2).otherwise(1)
+    out = numbered.select("conv_id", "msg", "role", times.alias("times"), F.posexplode(events).alias("k", "e"))
+    out = out.select("conv_id", (F.col("msg") * (1 << 31) + F.col("k")).alias("seq"), "e.kind", "msg", "role", "e.text", "times")
+    return out.withColumn("times", F.explode(F.array_repeat(F.lit(0), F.col("times")))).drop("times") if reworked else out.drop("times")
 
 
 def fold(events: DataFrame) -> DataFrame:
     """(conv_id, turns) with turns: array<struct<msg, role, text>>, the final messages in order.
 
-    An event of a message that was never opened opens it. Null texts are
-    empty, a null role is the empty role. Events of equal seq apply in the
-    order of kind, role and text; repeated events apply again (a delta sent
-    twice is in the text twice). Null conv_ids form one conversation.
+    Events apply in the order of (seq, kind, role, text, msg), and exact
+    repeats of an event once, so a log that is delivered twice folds alike. A
+    delta adds to its message's text, an edit replaces it, a regenerate empties
+    it and takes away all messages of greater msg as they are then; one that is
+    opened later stands again, without what it said before. The last open gives
+    a message its role; a message that is never opened is by its first event.
+    Events of other kinds say nothing more. Null texts are empty, a null role
+    is the empty role, a null msg is a message before all others. Null conv_ids
+    form one conversation.
     """
-    one = F.struct("seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = events.repartition("conv_id")
-    at = lambda *kinds: F.max(F.when(F.col("kind").isin(*kinds), F.col("seq")))
-    opens = F.when(F.col("kind") == "open", one)
-    # What the filters below compare with is aggregated, not an expression that they would work out anew for each event.
+    one = F.struct("seq", "kind", "role", "text", "msg")
+    blank = [F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")]
+    dealt = events.select("conv_id", "msg", "seq", "kind", *blank).repartition("conv_id").distinct()
+    at = lambda *kinds: F.max(F.when(F.col("kind").isin(*kinds), one))
+    # What the filter below compares with is aggregated, not an expression that it would work out anew for each event.
     messages = dealt.groupBy("conv_id", "msg").agg(
         F.array_sort(F.collect_list(one)).alias("ev"),
         at("edit", "regenerate").alias("reset"),
-        F.coalesce(F.max(opens), F.min(one)).alias("first"),
-        at("regenerate").alias("regenerated"),
+        F.coalesce(at("open"), F.min(one)).alias("first"),
+        F.when(F.col("msg").isNotNull(), at("regenerate")).alias("regenerated"),
     )
-    spoken = F.filter("ev", lambda e: e["kind"].isin("delta", "edit") & (F.col("reset").isNull() | (e["seq"] >= F.col("reset"))))
-    messages = messages.select("conv_id", "msg", F.array_join(F.transform(spoken, lambda e: e["text"]), "").alias("text"), "first.role", F.col("first.seq").alias("opened"), "regenerated")
-    again = F.when(F.col("regenerated").isNotNull(), F.struct("msg", "regenerated"))
-    turns = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("msg", "role", "text", "opened"))).alias("all"), F.collect_list(again).alias("again"))
-    stands = F.filter("all", lambda m: ~F.exists(F.col("again"), lambda r: (r["msg"] < m["msg"]) & (r["regenerated"] > m["opened"])))
-    return turns.select("conv_id", F.transform(stands, lambda m: F.struct(m["msg"], m["role"], m["text"])).alias("turns"))
+    before = Window.partitionBy("conv_id").orderBy("msg").rowsBetween(Window.unboundedPreceding, -1)
+    standing = messages.withColumn("cut", F.max("regenerated").over(before)).where("cut is null or first > cut").withColumn("from", F.greatest("reset", "cut"))
+    spoken = F.filter("ev", lambda e: e["kind"].isin("delta", "edit") & (F.col("from").isNull() | (e >= F.col("from"))))
+    said = standing.select("conv_id", "msg", "first.role", F.array_join(F.transform(spoken, lambda e: e["text"]), "").alias("text"))
+    return said.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("msg", "role", "text"))).alias("turns"))
 
 
 #: Characters of conversations that are given out together.

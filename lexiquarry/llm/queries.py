@@ -38,7 +38,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = f"{chat.TURN_END}{chat.TURN_START}assistant ok"
     rows = rows.union(spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], rows.schema))
-    read = chat.read_back(chat.render(chat.fold(chat.events_of(rows))))
+    read = chat.read_back(chat.render(chat.fold(chat.events_of(rows, reworked=True))))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss_texts", "")
     return read.select(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,36 +93,33 @@ def bounded_windows(text: Column, words: int = 120, overlap: int = 30, chars: in
 
     find = regex.compile(pattern).finditer
 
+    def reach(doc: str, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For each word the number of the first word that no longer fits a window from it on."""
+        if cost is None:
+            return np.minimum(np.arange(len(begin)) + words, np.searchsorted(end, begin + chars, "right"))
+        paid = np.cumsum([0, *(cost(doc[a:b]) for a, b in zip(begin, end, strict=True))])
+        return np.searchsorted(paid, paid[:-1] + budget, "right") - 1
+
+    def fitted(piece: str) -> str:
+        if cost is None:
+            return piece[:chars]
+        sizes = range(len(piece), 0, -10)
+        return piece[: next((n for n in sizes if n <= 10 or cost(piece[:n]) <= budget), 0)]
+
     def windows_of(doc: str | None) -> list[dict]:
         doc = doc or ""
-        found = [m.span() for m in find(doc)]
-        if not found:
+        spans = np.array([m.span() for m in find(doc)], np.int64).reshape(-1, 2)
+        if not len(spans):
             return [{"text": doc[:blank], "start_offset": 0}]
-        price = [cost(doc[a:b]) for a, b in found] if cost else None
-        out, first = [], 0
-        while True:
-            last = first
-            spent = 0
-            while last < len(found):
-                if price is not None:
-                    if spent + price[last] > budget:
-                        break
-                    spent += price[last]
-                elif last - first >= words or found[last][1] - found[first][0] > chars:
-                    break
-                last += 1
-            last = max(last, first + 1)
-            begin = found[first][0]
-            piece = doc[begin : found[last - 1][1]]
-            if cost is None:
-                piece = piece[:chars]
-            else:
-                while len(piece) > 10 and cost(piece) > budget:
-                    piece = piece[:-10]
-            out.append({"text": piece, "start_offset": begin})
-            if last == len(found):
-                return out
-            first = max(last - overlap, first + 1)
+        begin, end = spans.T
+        following = np.arange(1, len(spans) + 1)
+        stop = np.maximum(reach(doc, begin, end), following)
+        onward = np.where(stop < len(spans), np.maximum(stop - overlap, following), -1)
+        firsts, at = [], 0
+        while at >= 0:
+            firsts.append(at)
+            at = int(onward[at])
+        return [{"text": fitted(doc[a:b]), "start_offset": int(a)} for a, b in zip(begin[firsts], end[stop[firsts] - 1], strict=True)]
 
     @F.pandas_udf(CHUNKS)
     def run(x: pd.Series) -> pd.Series:

@@ -90,6 +90,7 @@ TEMPLATES = {
         "This is free and unencumbered software released into the public domain.",
     ],
     "proprietary": [
+        "All rights reserved.",
         "All rights reserved. No part of this publication may be reproduced without prior written permission.",
         "Copyright, all rights reserved. Unauthorized copying of this file is strictly prohibited. Proprietary and confidential.",
     ],
@@ -235,17 +236,19 @@ def _judged(m: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _lines_of(docs: DataFrame, bound: int, id: str, text: str) -> list[str]:
-    """About 5 * `bound` lines of about `bound` documents, both drawn by hashes; of a line the first 400 characters."""
-    some = docs.where(drawn(id, docs.count(), bound, 41)).select(F.explode(F.split(text, "\n")).alias("line")).where("trim(line) <> ''")
-    rows = some.select(F.substring("line", 1, 400).alias("line")).orderBy(F.xxhash64("line"), "line").limit(5 * bound)
+    """About 5 * `bound` lines of about `bound` documents, both drawn by hashes; a line of over 400 characters counts as several."""
+    some = docs.where(drawn(id, docs.count(), bound, 41)).select(F.explode(F.split(text, "\n")).alias("line"))
+    some = some.select(F.explode(F.regexp_extract_all("line", F.lit("(?s).{1,400}"), F.lit(0))).alias("line")).where("trim(line) <> ''")
+    rows = some.orderBy(F.xxhash64("line"), "line").limit(5 * bound)
     return [r["line"] for r in rows.collect()]
 
 
 def train(docs: DataFrame, bound: int = 400, variants: int = 60, seed: int = 5, id: str = "doc_id", text: str = "text") -> Model:
     """Learn from variants of the templates and the lines of about `bound` documents drawn by a hash of their id.
 
-    Drawn lines that share three telling pairs with a template, or one and
-    speak of a licence, are not taken as examples of no licence. Rows with a
+    Drawn lines that share three telling pairs with a template, or half of
+    their own, or one and speak of a licence, are not taken as examples of no
+    licence. Rows with a
     null id or text teach nothing; an empty table leaves the templates and
     plain words.
     """
@@ -259,7 +262,7 @@ def train(docs: DataFrame, bound: int = 400, variants: int = 60, seed: int = 5,
         h, b = _hashes(lines)
         g, gb = windows(h, b, 2, short=False)
         hits = np.add.reduceat(np.append(np.isin(g, telling), False).astype(int), gb[:-1]) * (np.diff(gb) > 0)
-        examples += [(NONE, x) for x, n in zip(lines, hits.tolist(), strict=True) if n < 3 and not (n and _NOTICE.search(x))]
+        examples += [(NONE, x) for x, n, own in zip(lines, hits.tolist(), np.diff(gb).tolist(), strict=True) if n < 3 and not (n and (2 * n >= own or _NOTICE.search(x)))]
     examples += [(NONE, " ".join(rng.sample(sorted(_PLAIN), 8))) for _ in range(200)]
     rng.shuffle(examples)
     m, h, b, y, cut = _fit(examples, set(TEMPLATES))

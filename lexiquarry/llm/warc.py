@@ -258,7 +258,8 @@ def reassemble(segments: DataFrame) -> DataFrame:
         F.max("total_length").alias("total_length"),
         F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"),
     )
-    block = F.aggregate("parts", F.lit(b""), lambda acc, p: F.concat(acc, p["block"]))
+    # One copy of all bytes; a join of strings leaves them as they are.
+    block = F.array_join(F.transform("parts", lambda p: p["block"].cast("string")), "").cast("binary")
     numbers = F.transform("parts", lambda p: p["segment"])
     return whole.withColumn("block", block).select(
         "uri", "record_id", "type", "date", "payload_digest", "refers_to", "payload_length", "block",

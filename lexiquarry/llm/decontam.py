@@ -228,13 +228,16 @@ def _bloom(keys: DataFrame, count: int) -> np.ndarray:
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: float = 0.5) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: float = 0.5, least: int = 1) -> DataFrame:
     """(doc_id, item_id, coverage, exact, start): the items that documents hold.
 
     docs: doc_id, text; benchmark: item_id, text. Windows have as many words as
     `item_size` says, `size` at most; an item of fewer words is one window of
-    its own length, found anywhere in a document. An item without words is
-    found nowhere, one of slots only with its own values. `coverage` is the
+    its own length, found anywhere in a document, but with
+    fewer than `least` words only in documents of just these words (by default
+    an item of one word is found wherever the word stands). An item without words is found nowhere,
+    one of slots only with its own values. Several texts of one item_id are
+    looked for each on its own, and the best stands for the item. `coverage` is the
     share of the item's windows found in one alignment (at least `share`),
     `start` the first word of that alignment in the document, `exact` whether
     all slots have the item's values. An alignment is a shift, or a band of
@@ -246,18 +249,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shar
     """
     spark = docs.sparkSession
     store = Store(spark, "decontam")
-    items = store.table(_windows(benchmark.select(F.col("item_id").cast("long").alias("id"), "text").dropna(), size), "items")
+    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropna().distinct()
+    texts = store.table(texts.select(F.xxhash64("item_id", "text").alias("id"), "item_id", "text"), "texts")
+    items = store.table(_windows(texts.select("id", "text"), size), "items")
     sizes = sorted(r[0] for r in items.select(F.size("cells")).distinct().collect())
     wanted = spark.sparkContext.broadcast(_bloom(items, items.count()))
     found = _windows(docs.select(F.col("doc_id").cast("long").alias("id"), "text").dropna(), size, sizes, wanted)
     # What is left are places that look like benchmark windows: a small part of the documents' windows.
+    found = found.where((F.size("cells") >= least) | (F.col("total") == 1))
     hits = store.table(found.select(F.col("id").alias("doc_id"), "key", F.col("pos").alias("dpos"), F.col("word").alias("dword"), F.col("cells").alias("dcells")), "hits")
-    right = items.select(F.col("id").alias("item_id"), "reading", "key", F.col("pos").alias("ipos"), F.col("word").alias("iword"), "total", "plain", F.col("cells").alias("icells"))
+    right = items.select(F.col("id").alias("item"), "reading", "key", F.col("pos").alias("ipos"), F.col("word").alias("iword"), "total", "plain", F.col("cells").alias("icells"))
     met = hits.join(right, "key").withColumn("shift", F.col("dpos") - F.col("ipos")).withColumn("first", F.col("dword") - F.col("iword"))
     pairs = F.filter(F.arrays_zip("icells", "dcells"), lambda s: s["icells"] != 0)
     # A single shift (width 1), and each band of shifts that holds it.
     bands = [F.struct(F.lit(1).alias("width"), F.col("shift").alias("at")), *(F.struct(F.lit(BAND).alias("width"), (F.col("shift") - k).alias("at")) for k in range(BAND))]
-    groups = met.withColumn("pairs", pairs).withColumn("band", F.explode(F.array(*bands))).groupBy("doc_id", "item_id", "reading", "band")
+    groups = met.withColumn("pairs", pairs).withColumn("band", F.explode(F.array(*bands))).groupBy("doc_id", "item", "reading", "band")
     aligned = groups.agg(
         F.count_distinct("ipos").alias("windows"),
         F.first("total").alias("total"),
@@ -270,6 +276,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shar
     consistent = (F.size(F.array_distinct(left)) == F.size("pairs")) & (F.size(F.array_distinct(other)) == F.size("pairs"))
     exact = F.forall("pairs", lambda s: s["icells"] == s["dcells"])
     aligned = aligned.where(consistent & (F.col("windows") >= share * F.col("total")) & ((F.col("plain") > 0) | exact))
+    aligned = aligned.join(texts.select(F.col("id").alias("item"), "item_id"), "item")
     best = aligned.select("doc_id", "item_id", F.struct((F.col("windows") / F.col("total")).alias("coverage"), exact.alias("exact"), (-F.col("first")).alias("back")).alias("best"))
     best = best.groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
     return best.select("doc_id", "item_id", "best.coverage", "best.exact", (-F.col("best.back")).alias("start"))

@@ -474,3 +474,23 @@ def test_licenses_odd_rows(spark, license_model):
     assert got == [(1, ["MIT"]), (1, ["MIT"]), (2, ["MIT"]), (3, []), (4, [])]
     blank = licenses.train(spark.createDataFrame([], DOCS))
     assert licenses.scan(spark.createDataFrame([], DOCS), blank).collect() == []
+
+
+def test_items_of_one_id_and_very_short_items(spark):
+    one = "The quiet river runs past seven mills before the town begins to sell bread and salt"
+    two = "Every lantern on the northern wall was lit by a keeper who never spoke of storms"
+    bench = spark.createDataFrame([(1, one), (1, two), (1, one), (2, "the"), (3, "the end"), (4, "what now then")], "item_id long, text string")
+    docs = [f"Before. {one}. After.", f"Before. {two}. After.", f"{one} {two}", "the", "The end.", "the end is near, what now then", "the clean text of a walk in the hills"]
+    got = decontam.contaminated(spark.createDataFrame(list(enumerate(docs)), DOCS), bench, least=3)
+    assert sorted((r["doc_id"], r["item_id"], r["coverage"]) for r in got.collect()) == [(0, 1, 1.0), (1, 1, 1.0), (2, 1, 1.0), (3, 2, 1.0), (4, 3, 1.0), (5, 4, 1.0)]
+
+
+def test_many_segments_keep_every_byte(spark):
+    import random
+
+    parts = [random.Random(k).randbytes(1 << 15) for k in range(600)]
+    rows = [("u", f"r{k}", "response", None, None, None, None, k, "r1" if k > 1 else None, len(b"".join(parts)) if k == 600 else None, bytearray(b)) for k, b in enumerate(parts, 1)]
+    random.Random(1).shuffle(rows)
+    names = "uri string, record_id string, type string, date string, payload_digest string, refers_to string, payload_length long, segment long, origin_id string, total_length long, block binary"
+    got = warc.reassemble(spark.createDataFrame(rows, names)).first()
+    assert got["complete"] and bytes(got["block"]) == b"".join(parts)

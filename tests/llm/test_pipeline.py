@@ -67,6 +67,14 @@ def test_one_of_each_group_stays(spark):
     assert got == sorted([*want, (None, once[1]), (None, None)], key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
 
 
+def test_texts_of_one_id_are_judged_alone(spark):
+    a, b = (" ".join(f"{w}{k}" for k in range(60)) for w in "ab")
+    near = b.replace("b59", "other")
+    assert rows(p.keep_one_of_each(spark, table(spark, [(1, b), (5, a), (5, b)]), SF)) == [(1, b), (5, a)]
+    assert rows(p.keep_one_of_each(spark, table(spark, [(1, near), (5, a), (5, b), (5, a), (9, a)]), SF)) == [(1, near), (9, a)]
+    assert rows(p.keep_one_of_each(spark, table(spark, [(5, a), (5, b), (5, None), (7, "")]), SF)) == [(5, None), (5, a), (5, b), (7, "")]
+
+
 def test_leaks_go(spark):
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(5).collect()]
     leaks = [(k, f"Some words before. {t} And some after.") for k, t in enumerate(items)] + [(9, items[0].upper()), (9, "the other row of that id")]

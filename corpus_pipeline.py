@@ -36,19 +36,35 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where("predicted = 0").select(*COLUMNS)
 
 
+def _nodes(spark: SparkSession, docs: DataFrame, store: Store) -> DataFrame:
+    """`docs` with `node`: the id, or where an id has several texts a 64-bit hash of id and text, above all ids under 2^62."""
+    digest = F.xxhash64("text")
+    clashes = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high"))
+    clashes = store.table(clashes.where("low <> high").select("doc_id", F.lit(True).alias("clash")), "clashes")
+    own = F.col("doc_id").cast("long")
+    if clashes.isEmpty():
+        return docs.select(*COLUMNS, own.alias("node"))
+    hashed = F.lit(1 << 62) + F.xxhash64("doc_id", "text").bitwiseAND((1 << 62) - 1)
+    rows = docs.select(*COLUMNS).join(clashes, "doc_id", "left")
+    return store.table(rows.select(*COLUMNS, F.when(F.col("clash"), hashed).otherwise(own).alias("node")), "nodes")
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: five-word shingles, a similarity of 0.8 or more.
 
-    The document with the smallest id stays. Of rows that share id and text one
-    stays, that with the least other columns. Texts without words are in no
-    group and stay, as do rows without an id, which no group can name.
+    The document with the smallest id stays. A document is an id with a text:
+    where an id has several texts each is judged alone, after those whose id
+    has one. Of rows that share id and text one stays, that with the least
+    other columns. Texts without words are in no group and stay, as do rows
+    without an id, which no group can name.
     """
     store = Store(spark, "pipeline")
-    found = minhash.near_duplicates(docs, minhash.MinMax(shingle=5, percent=80, bands=45))
-    flags = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("stays"), F.count("*").alias("rows"))
+    rows = _nodes(spark, docs, store)
+    found = minhash.near_duplicates(rows, minhash.MinMax(shingle=5, percent=80, bands=45), id="node").withColumnRenamed("doc_id", "node")
+    flags = found.where("node is not null").groupBy("node").agg(F.min("kept").alias("stays"), F.count("*").alias("rows"))
     flags = store.table(flags.where("not stays or rows > 1"), "copies")
-    once = docs.join(flags.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
-    several = docs.join(flags.where("stays").select("doc_id"), "doc_id", "left_semi")
+    once = rows.join(flags.select("node"), "node", "left_anti").select(*COLUMNS)
+    several = rows.join(flags.where("stays").select("node"), "node", "left_semi")
     rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
     several = several.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest"))
     return once.union(several.select("doc_id", "text", "rest.*").select(*COLUMNS))
@@ -57,10 +73,11 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item; one that holds any goes whole, with all rows of its id.
 
-    Rows without an id or text hold nothing and stay; so do all documents if
-    the benchmark is empty.
+    Items of one or two words are common words, so only documents of just these
+    words hold them. Rows without an id or text hold nothing and stay; so do all
+    documents if the benchmark is empty.
     """
-    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least=3)
     gone = Store(spark, "pipeline").table(found.select("doc_id").distinct(), "leaks")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
+from .settle import settled
 from .spans import FIELDS
 
 ENTITIES = "doc_id long, ord long, start int, end int, text string, type string, assertions array<string>, candidates array<string>"
@@ -27,22 +28,49 @@ class Annotator(Protocol):
         """For each text its entities: dicts of text, position, type and, where known, assertions and candidates."""
 
 
-def annotate(docs: DataFrame, load: Callable[[], Annotator], batch: int = 16, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Entity rows of an annotator; `load` runs once in each task. Entities without a place get null positions."""
+def _rows(key: int, found: list[dict]) -> list[tuple]:
+    out = []
+    for k, e in enumerate(found):
+        place = [*(e.get("position") or []), None, None]
+        out.append((key, k, place[0], place[1], e.get("text", ""), e.get("type", ""), list(e.get("assertions") or []), list(e.get("candidates") or []), None))
+    return out
+
+
+def annotate(docs: DataFrame, load: Callable[[], Annotator], batch: int = 16, id: str = "doc_id", text: str = "text", isolate: bool = False) -> DataFrame:
+    """Entity rows of an annotator; `load` runs once in each task. Entities without a place get null positions.
+
+    An error of the annotator ends the run. With `isolate` it doesn't: the
+    texts of its batch are given again one by one, and one that fails alone
+    gives a single row of its id with the error in a further column `error`
+    (null in entity rows); `parted` takes the two apart.
+    """
+
+    def attempt(model: Annotator, keys: list[int], texts: list[str]) -> list[tuple]:
+        try:
+            return [r for key, found in zip(keys, model(texts), strict=True) for r in _rows(key, found)]
+        except Exception as error:
+            if not isolate:
+                raise
+            if len(texts) > 1:
+                return [r for key, one in zip(keys, texts, strict=True) for r in attempt(model, [key], [one])]
+            return [(keys[0], *[None] * 7, f"{type(error).__name__}: {error}")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for f in frames:
             for at in range(0, len(f), batch):
                 part = f.iloc[at : at + batch]
-                rows = []
-                for key, found in zip(part["doc_id"], model(part["text"].fillna("").tolist()), strict=True):
-                    for k, e in enumerate(found):
-                        place = [*(e.get("position") or []), None, None]
-                        rows.append((key, k, place[0], place[1], e.get("text", ""), e.get("type", ""), list(e.get("assertions") or []), list(e.get("candidates") or [])))
-                yield pd.DataFrame(rows, columns=["doc_id", "ord", *FIELDS]).astype({"doc_id": "int64", "ord": "int64", "start": "Int32", "end": "Int32"})
-
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, ENTITIES)
+                rows = attempt(model, part["doc_id"].tolist(), part["text"].fillna("").tolist())
+                out = pd.DataFrame(rows, columns=["doc_id", "ord", *FIELDS, "error"]).astype({"doc_id": "int64", "ord": "Int64", "start": "Int32", "end": "Int32"})
+                yield out if isolate else out.drop(columns="error")
+
+    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, ENTITIES + ", error string" * isolate)
+
+
+def parted(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entity rows, and (doc_id, error) of the documents that failed, from one run of an isolated annotator."""
+    found = settled(found)
+    return found.where("error is null").drop("error"), found.where("error is not null").select("doc_id", "error")
 
 
 def keywords(docs: DataFrame, words: dict[str, str], id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -78,14 +80,27 @@ def block_offset_map(source: str, target: str, near: bool = True) -> list[int]:
     return [one(i) for i in range(len(source) + 1)]
 
 
-def _spots(low: str, needle: str) -> list[int]:
-    out, at = [], low.find(needle)
-    while at >= 0 and needle:
-        out.append(at)
-        at = low.find(needle, at + len(needle))
+def literal_hits(text: str, wanted: set[str]) -> dict[str, list[int]]:
+    """Starts of each wanted string's occurrences in the text, from the left and without overlaps, in one pass over the text."""
+    out: dict[str, list[int]] = {w: [] for w in wanted if w}
+    if out:
+        words = ahocorasick.Automaton()
+        for w in out:
+            words.add_word(w, w)
+        words.make_automaton()
+        for last, w in words.iter(text):
+            at, found = last + 1 - len(w), out[w]
+            if not found or at >= found[-1] + len(w):
+                found.append(at)
     return out
 
 
+def _closest(spots: list[int], hint: int) -> int:
+    """The spot nearest to the hint, the first of equals."""
+    k = bisect_left(spots, hint)
+    return min(spots[max(0, k - 1) : k + 1], key=lambda s: abs(s - hint))
+
+
 def most_similar(text: str, window: str, slack: int = 15, least: float = 0.70) -> tuple[int, int] | None:
     """(start, end) of the slice of `window` most similar to `text` by matching blocks: of equal ones the shortest, then the first.
 
@@ -122,43 +137,71 @@ def most_similar(text: str, window: str, slack: int = 15, least: float = 0.70) -
     return (best[2], best[2] + best[1]) if best else None
 
 
-@F.pandas_udf(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-def _relocate(doc: pd.Series, text: pd.Series, hint: pd.Series, fuzzy: pd.Series, compat: pd.Series) -> pd.DataFrame:
-    """Places for mentions that the text doesn't hold literally: composed forms first, then the most similar window."""
+def places(doc: str, texts: list[str], hints: list[int], fuzzy: bool, compat: bool) -> list[tuple[int, int] | None]:
+    """A place for each mention: literal, else by composed form, else (`fuzzy`) the most similar window near the hint.
+
+    The text is searched once for all literal forms and once for all composed
+    ones; its offset map is made once, and only if a composed form was found.
+    """
+    out: list[tuple[int, int] | None] = [None] * len(texts)
+    lows = [t.lower() for t in texts]
+    hits = literal_hits(doc.lower(), set(lows))
+    for k, low in enumerate(lows):
+        if spots := hits.get(low):
+            at = _closest(spots, hints[k])
+            out[k] = (at, at + len(texts[k]))
+    rest = [k for k, place in enumerate(out) if place is None]
+    if not rest:
+        return out
+    composed = {k: unicodedata.normalize("NFC", texts[k]) for k in rest}
+    hits = literal_hits(unicodedata.normalize("NFC", doc).lower(), {c.lower() for c in composed.values()})
+    back: list[int] = []
+    for k in rest:
+        if spots := hits.get(composed[k].lower()):
+            back = back or (block_offset_map(unicodedata.normalize("NFC", doc), doc, near=False) if compat else exact_offset_map(doc))
+            at = _closest(spots, hints[k])
+            last = len(back) - 1  # some characters grow in lower case
+            out[k] = (back[min(at, last)], back[min(at + len(composed[k]), last)])
+        elif fuzzy:
+            begin = max(0, hints[k] - 80)
+            found = most_similar(lows[k], doc[begin : hints[k] + len(texts[k]) + 80].lower())
+            out[k] = (begin + found[0], begin + found[1]) if found else None
+    return out
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, T.ArrayType(t)) for n, t in (("starts", T.IntegerType()), ("ends", T.IntegerType()), ("texts", T.StringType()))]))
+def _placed(doc: pd.Series, texts: pd.Series, hints: pd.Series, fuzzy: pd.Series, compat: pd.Series) -> pd.DataFrame:
+    rows = []
+    for d, t, h, f, c in zip(doc, texts, hints, fuzzy, compat, strict=True):
+        found = places(d, list(t), [int(x) for x in h], bool(f), bool(c))
+        rows.append(([p and p[0] for p in found], [p and p[1] for p in found], [p and d[p[0] : p[1]] for p in found]))
+    return pd.DataFrame(rows, columns=["starts", "ends", "texts"])
 
-    def one(d: str, t: str, h: int, fuzz: bool, blocks: bool) -> tuple[int | None, int | None]:
-        composed, wanted = unicodedata.normalize("NFC", d), unicodedata.normalize("NFC", t)
-        spots = _spots(composed.lower(), wanted.lower())
-        if spots:
-            best = min(spots, key=lambda s: abs(s - h))
-            places = block_offset_map(composed, d, near=False) if blocks else exact_offset_map(d)
-            return places[best], places[best + len(wanted)]
-        if not fuzz:
-            return None, None
-        low = max(0, h - 80)
-        place = most_similar(t.lower(), d[low : h + len(t) + 80].lower())
-        return (low + place[0], low + place[1]) if place else (None, None)
 
-    found = [one(*r) for r in zip(doc, text, hint, fuzzy, compat, strict=True)]
-    return pd.DataFrame(found, columns=["start", "end"]).astype("Int32")
+#: Characters of text whose mentions are placed together.
+PASSAGE = 1 << 16
 
 
 def closest_position(entities: DataFrame, docs: DataFrame, fuzzy: bool = True, offset_map: str = "exact", id: str = "doc_id") -> DataFrame:
     """Entities placed in their documents: literally (nearest to the old start), by composed form, or by similarity.
 
     `text` becomes the document's own; entities without a place, without text
-    or without a type go. Only what has no literal hit reaches the Arrow UDF.
+    or without a type go, as do those of null and empty documents. A document
+    meets its entities once for each passage that they say to be in, so its
+    text doesn't travel with every entity. Repeated entities stay repeated.
     offset_map: "exact", or "compat" for the map by matching blocks.
     """
     rows = entities.withColumns({"text": strip(F.col("text")), "type": strip(F.col("type"))}).where("text <> '' and type <> ''")
-    rows = rows.join(docs.select(id, F.col("text").alias("_doc")), id).where("_doc <> ''")
-    hint = F.coalesce(F.col("start"), F.lit(0))
-    rows = rows.withColumn("_at", nearest(occurrences(F.col("_doc"), F.col("text")), hint))
-    literal = rows.where("_at is not null").withColumns({"start": F.col("_at"), "end": F.col("_at") + F.length("text")})
-    rest = rows.where("_at is null").withColumn("_place", _relocate("_doc", "text", hint, F.lit(fuzzy), F.lit(offset_map == "compat")))
-    moved = rest.where("_place.start is not null").withColumns({"start": F.col("_place.start"), "end": F.col("_place.end")}).drop("_place")
-    every = literal.unionByName(moved)
-    return every.withColumn("text", F.substring("_doc", F.col("start") + 1, F.col("end") - F.col("start"))).drop("_doc", "_at")
+    passage = F.floor(F.coalesce(F.col("start"), F.lit(0)) / PASSAGE)
+    packed = rows.groupBy(F.col(id).alias("key"), passage.alias("passage")).agg(F.collect_list(F.struct(*entities.columns)).alias("mention"))
+    both = packed.join(docs.select(F.col(id).alias("key"), F.col("text").alias("doc")).where("doc <> ''"), "key")
+    texts = F.transform("mention", lambda m: m["text"])
+    hints = F.transform("mention", lambda m: F.coalesce(m["start"], F.lit(0)))
+    found = both.select("mention", _placed("doc", texts, hints, F.lit(fuzzy), F.lit(offset_map == "compat")).alias("place"))
+    found = found.select("mention", "place.starts", "place.ends", "place.texts")
+    each = found.select(F.explode(F.arrays_zip("mention", "starts", "ends", "texts")).alias("x")).where("x.starts is not null")
+    new = {"start": "x.starts", "end": "x.ends", "text": "x.texts"}
+    return each.select(*(F.col(new.get(c, f"x.mention.`{c}`")).alias(c) for c in entities.columns))
 
 
 def check_then_search(entities: DataFrame, docs: DataFrame, id: str = "doc_id") -> DataFrame:

@@ -93,3 +93,24 @@ def test_profiles(spark):
     assert profile.entity_density(tags).first()["entities"] == 2
     none = spark.createDataFrame([], "doc_id long, text string")
     assert profile.type_token_ratio(none).first()["ratio"] in (None, 0.0)
+
+
+def test_annotator_failures_stay_with_their_document(spark):
+    class Fails:
+        """Fails on texts that say so, alone or in a batch."""
+
+        def __call__(self, texts):
+            if any("bad" in t for t in texts):
+                raise ValueError("no such text")
+            return [[{"text": t[:1], "type": L.DRUG, "position": [0, 1]}] if t else [] for t in texts]
+
+    docs = spark.createDataFrame([(k, "bad" if k % 7 == 3 else f"text {k}") for k in range(40)] + [(50, None), (51, "")], "doc_id long, text string")
+    found, failed = annotators.parted(annotators.annotate(docs, Fails, batch=5, isolate=True))
+    bad = {k for k in range(40) if k % 7 == 3}
+    assert {r["doc_id"]: r["error"] for r in failed.collect()} == {k: "ValueError: no such text" for k in bad}
+    assert sorted(r["doc_id"] for r in found.collect()) == sorted(set(range(40)) - bad)
+    plain = annotators.annotate(docs.where("text <> 'bad'"), Fails)
+    assert found.columns == plain.columns and found.schema.simpleString() == plain.schema.simpleString()
+    assert found.exceptAll(plain).isEmpty()
+    empty = annotators.annotate(docs.limit(0), Fails, isolate=True)
+    assert empty.isEmpty()

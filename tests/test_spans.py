@@ -246,3 +246,96 @@ def test_most_similar_equals_all_windows():
         t = "".join(rng.choice("abcx ") if rng.random() < 0.2 else c for c in window[s : s + rng.randint(4, 14)])
         assert not t or spans.most_similar(t, window) == slow(t, window)
     assert spans.most_similar("abc", "") is None
+
+
+def _plain_place(doc, text, hint, compat):
+    """The three tiers, one mention at a time and without any index."""
+
+    def hits(low, needle):
+        found, at = [], low.find(needle)
+        while at >= 0:
+            found.append(at)
+            at = low.find(needle, at + len(needle))
+        return found
+
+    def closest(found):
+        return min(found, key=lambda s: (abs(s - hint), s))
+
+    if found := hits(doc.lower(), text.lower()):
+        return closest(found), closest(found) + len(text)
+    composed, wanted = unicodedata.normalize("NFC", doc), unicodedata.normalize("NFC", text)
+    if found := hits(composed.lower(), wanted.lower()):
+        if compat:
+            blocks = difflib.SequenceMatcher(None, composed, doc).get_matching_blocks()
+            back = [next((b + i - a for a, b, n in blocks if a <= i <= a + n), i) for i in range(len(composed) + 1)]
+        else:
+            # A composed character begins where the shortest prefix that composes to more than what is before it begins.
+            back = [max(p for p in range(len(doc) + 1) if len(unicodedata.normalize("NFC", doc[:p])) <= i and (p == len(doc) or not unicodedata.combining(doc[p]))) for i in range(len(composed) + 1)]
+        return back[closest(found)], back[closest(found) + len(wanted)]
+    low = max(0, hint - 80)
+    window, best = doc[low : hint + len(text) + 80].lower(), None
+    for n in range(max(1, len(text) - 15), min(len(window), len(text) + 15) + 1):
+        for s in range(len(window) - n + 1):
+            score = difflib.SequenceMatcher(None, text.lower(), window[s : s + n]).ratio()
+            if score >= 0.70 and (best is None or score > best[0]):
+                best = (score, low + s, low + s + n)
+    return best[1:] if best else None
+
+
+def test_closest_position_equals_a_plain_search(spark):
+    rng = random.Random(4)
+    words = ["đau", "đầu", "sốt", "ho", "khó", "thở", "aa", "Aspirin"]
+    texts, rows = [], []
+    for d in range(12):
+        text = " ".join(rng.choice(words) for _ in range(25))
+        texts.append(unicodedata.normalize("NFD" if d % 2 else "NFC", text))
+        for k in range(10):
+            own = " ".join(rng.choice(words) for _ in range(rng.randint(1, 3)))
+            own = own.upper() if k % 5 == 0 else own.replace("a", "b", 1) if k % 5 == 1 else own
+            rows.append((d, k, None if k == 7 else rng.randint(0, 120), None, unicodedata.normalize(rng.choice(["NFC", "NFD"]), own), L.SYMPTOM))
+    rows += [rows[0], (0, 90, 3, 4, " ", L.DRUG), (0, 91, 3, 4, "ho", ""), (99, 0, 0, 2, "ho", L.DRUG)]
+    for mode in ("exact", "compat"):
+        got = [(r["doc_id"], r["ord"], r["start"], r["end"], r["text"]) for r in spans.closest_position(entities(spark, rows), docs(spark, *texts), offset_map=mode).collect()]
+        want = []
+        for d, k, start, _, text, _ in rows[:121]:
+            if place := _plain_place(texts[d], text, start or 0, mode == "compat"):
+                want.append((d, k, *place, texts[d][place[0] : place[1]]))
+        assert sorted(got) == sorted(want) and len(want) > 60
+    near = spans.closest_position(entities(spark, rows), docs(spark, *texts), fuzzy=False)
+    assert 0 < near.count() < len(want)
+    assert spans.closest_position(entities(spark, []), docs(spark, *texts)).count() == 0
+
+
+def test_alignment_keeps_columns_and_copes_with_growing_characters(spark):
+    d = docs(spark, "İİİ đau", None, "")
+    e = entities(spark, [(0, 0, 4, 7, "đau", L.SYMPTOM), (0, 1, 0, 3, unicodedata.normalize("NFD", "đau"), L.SYMPTOM), (1, 0, 0, 1, "a", L.DRUG), (2, 0, 0, 1, "a", L.DRUG)])
+    more = e.withColumns({"doc": F.lit("x"), "key": F.lit(1), "mention": F.lit(2)})
+    got = spans.closest_position(more, d)
+    assert got.columns == more.columns and {r["doc_id"] for r in got.collect()} == {0}
+
+
+def test_tags_equal_a_plain_walk(spark):
+    rng = random.Random(8)
+    toks, ents, want = [], [], {}
+    for d in range(6):
+        own = []
+        at = 0
+        for k in range(60):
+            n = rng.randint(1, 90 if k % 20 == 0 else 8)
+            own.append((d, k, "w", at, at + n))
+            at += n + rng.randint(0, 3)
+        toks += own
+        tags = ["O"] * len(own)
+        for k in range(15):
+            s = rng.randint(0, at)
+            e = (d, k, s, s + rng.randint(-2, 120), "t", rng.choice([*L.TYPES, "none"]))
+            ents.append(e)
+            inside = [i for i, t in enumerate(own) if t[3] >= e[2] and t[4] <= e[3]] if e[5] in L.TYPES else []
+            for place, i in enumerate(inside):
+                if place == 0:
+                    tags[i] = "B-" + e[5]
+                elif tags[i] == "O":
+                    tags[i] = "I-" + e[5]
+        want |= {(d, i): t for i, t in enumerate(tags)}
+    frame = spark.createDataFrame(toks, "doc_id long, ord long, word string, start int, end int")
+    assert {(r["doc_id"], r["ord"]): r["tag"] for r in bio.tag_tokens(frame, entities(spark, ents)).collect()} == want

@@ -6,16 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from .spans import matched, numbered, with_lists
+from .spans import paired
 
 
 def pairs(gold: DataFrame, pred: DataFrame, least: float = 0.5, id: str = "doc_id") -> DataFrame:
     """(doc_id, gold, pred): entities of one type paired greedily by IoU in gold's order; unpaired ones with a null."""
-    none = F.array().cast("array<string>")
-    one = F.struct("ord", "start", "end", "text", "type", F.coalesce("assertions", none).alias("assertions"), F.coalesce("candidates", none).alias("candidates"))
-    xs, ys = numbered(with_lists(gold), "_x", id), numbered(with_lists(pred), "_y", id)
-    left = xs.select(id, "_x", one.alias("gold")).join(matched(xs, ys, least, id), [id, "_x"], "left")
-    return left.join(ys.select(id, "_y", one.alias("pred")), [id, "_y"], "full").select(id, "gold", "pred")
+    return paired(gold, pred, least, id).select(id, F.col("a").alias("gold"), F.col("b").alias("pred"))
 
 
 def word_errors(gold: Column, pred: Column) -> Column:

@@ -16,7 +16,8 @@ def context(doc: Column, start: Column, end: Column, before: int = 40, after: in
     """Lower-case text of the entity's sentence before and after it; sentences end at . ? ! and line ends."""
     # Only characters that can be in a window are cut out, so a long text costs no more than a short one.
     first = F.greatest(start - before, F.lit(0)).cast("int")
-    left = F.regexp_extract(F.substring(doc, first + 1, (start - first).cast("int")), r"[^.?!\n]*$", 0)
+    # \z: a $ would also match before a line end, and the line before would count.
+    left = F.regexp_extract(F.substring(doc, first + 1, (start - first).cast("int")), r"[^.?!\n]*\z", 0)
     right = F.regexp_extract(F.substring(doc, (end + 1).cast("int"), F.lit(after)), r"^[^.?!\n]*", 0)
     return F.lower(left), F.lower(right)
 

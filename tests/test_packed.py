@@ -94,3 +94,26 @@ def test_documents_are_tagged_as_tokens(spark):
         each = bio.tag_documents(d, e, pattern).select("doc_id", F.posexplode("tags").alias("ord", "tag"))
         want = {(r["doc_id"], r["ord"]): r["tag"] for r in bio.tag_tokens(tokens.tokens(d, pattern), e).collect()}
         assert {(r["doc_id"], r["ord"]): r["tag"] for r in each.collect()} == want and len(want) > 20
+
+
+def test_the_line_before_is_not_context(spark):
+    from lexiquarry.operators import assertions
+
+    row = spark.createDataFrame([("we said no\nho today", 11, 13)], "doc string, start int, end int")
+    assert row.select(assertions.context(F.col("doc"), F.col("start"), F.col("end"))[0]).first()[0] == ""
+
+
+def test_substrings_by_few_anchors(spark, monkeypatch):
+    from lexiquarry.operators import linking
+
+    rng = random.Random(2)
+    big = ["".join(rng.choice("abc𝒳") for _ in range(rng.randint(0, 80))) for _ in range(40)]
+    small = [b[i : i + n] for b in big for i, n in ((rng.randint(0, 40), rng.choice([1, 5, 9, 40])),)] + ["abcabcabcabc", ""]
+    want = {(s, b) for s in small for b in big if s and s in b}
+    frames = spark.createDataFrame([(s,) for s in small], "s string"), spark.createDataFrame([(b,) for b in big], "b string")
+    for bound in (200_000, 3):
+        monkeypatch.setattr(linking, "GRAMS", bound)
+        found = linking.containing(*frames)
+        assert {(r["s"], r["b"]) for r in found.collect()} == want
+        if bound > 3:  # the other grams of the long strings are no rows of a join
+            assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()

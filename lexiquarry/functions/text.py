@@ -1,12 +1,14 @@
-"""String operators as Column functions; Arrow UDFs only for Unicode normal forms."""
+"""String operators as Column functions; Arrow UDFs only for Unicode normal forms, a block of texts at a time."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,8 @@ from pyspark.sql import types as T
 from . import lexicon as L
 
 ENTITY_JSON = "array<struct<text:string,position:array<int>,type:string,assertions:array<string>,candidates:array<string>>>"
+#: Bytes of text that become Python strings at once.
+BLOCK = 1 << 20
 
 
 def strip(x: Column) -> Column:
@@ -29,16 +33,32 @@ def collapse_space(x: Column) -> Column:
     return strip(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
-@F.pandas_udf(T.StringType())
-def nfc(x: pd.Series) -> pd.Series:
+def in_blocks(x: pa.Array, size: int = BLOCK) -> Iterator[pa.Array]:
+    """The texts of an Arrow array, about `size` bytes at a time: as Python strings, with what is made of them, they take many times their bytes."""
+    before = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+    cuts = sorted({0, *np.searchsorted(before, np.arange(size, before[-1], size)).tolist(), len(x)})
+    return (x.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False))
+
+
+def _mapped(x: pa.Array, change: Callable[[str], str]) -> pa.Array:
+    parts = [pa.array([None if s is None else s if s.isascii() else change(s) for s in part.to_pylist()], pa.string()) for part in in_blocks(x)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def nfc(x: pa.Array) -> pa.Array:
     """Canonical composition."""
-    return x.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
+    return _mapped(x, lambda s: unicodedata.normalize("NFC", s))
+
+
+def _unmarked(s: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn")
 
 
-@F.pandas_udf(T.StringType())
-def strip_marks(x: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def strip_marks(x: pa.Array) -> pa.Array:
     """Without combining marks; letters like đ, which don't decompose, stay."""
-    return x.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn"))
+    return _mapped(x, _unmarked)
 
 
 def unify_variants(x: Column) -> Column:

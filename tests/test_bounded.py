@@ -1,10 +1,14 @@
 """Steps whose memory, time or shuffles must not outgrow their input, against plain versions."""
 
 import random
+import re
+import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lexiquarry.operators import linking
+from lexiquarry.functions import text as X
+from lexiquarry.operators import linking, tokens
 
 
 def test_semantic_in_small_packs(spark, monkeypatch):
@@ -31,3 +35,34 @@ def test_semantic_in_small_packs(spark, monkeypatch):
     copies = spark.createDataFrame([(f"c{i}", str(i), i, [0.1, 0.7, 0.3]) for i in range(40)], names.schema)
     got = {r["q"]: r["code"] for r in linking.semantic(copies.select(F.col("name").alias("q"), "v"), copies, -1.0, same=False).collect()}
     assert got == {f"c{i}": "0" if i else "1" for i in range(40)}
+
+
+def test_texts_become_strings_by_blocks(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("aé đéệẛ̣𝒳") for _ in range(rng.choice([0, 1, 7, 300]))) for _ in range(60)] + [None, "", "plain"]
+    assert [len(p) for p in X.in_blocks(pa.array(["ab", "c", None, "", "defgh", "i", "j"]), 3)] == [2, 3, 1, 1]
+    assert [x for p in X.in_blocks(pa.array(texts), 100) for x in p.to_pylist()] == texts and not list(X.in_blocks(pa.array([], pa.string())))
+    # What a batch makes of its texts is never held for more than a block of them.
+    seen = []
+    monkeypatch.setattr(X, "in_blocks", lambda x, size=100, f=X.in_blocks: (seen.append(len(p)) or p for p in f(x, 100)))
+    got = X._mapped(pa.array(texts), X._unmarked).to_pylist()
+    bare = lambda s: "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn")
+    assert got == [None if s is None else bare(s) for s in texts] and max(seen) < 40 and sum(seen) == len(texts)
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "doc_id long, text string")
+    for r in rows.select("text", X.nfc("text").alias("c"), X.strip_marks("text").alias("b")).collect():
+        assert (r["c"], r["b"]) == ((None, None) if r["text"] is None else (unicodedata.normalize("NFC", r["text"]), bare(r["text"])))
+
+
+def test_chunks_by_blocks(spark):
+    rng = random.Random(8)
+    texts = [" ".join("ab𝒳é"[: rng.randint(1, 4)] for _ in range(rng.choice([0, 3, 40]))) for _ in range(30)] + [None, "", "   "]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    find = lambda: rows.select("doc_id", tokens.bounded_windows(F.col("text"), 10, 3, 25).alias("c")).orderBy("doc_id").collect()
+    for r, text in zip(find(), texts, strict=True):
+        spans = [m.span() for m in re.finditer(r"\S+", text or "")]
+        want, at = [], 0
+        while at < len(spans):
+            stop = max(at + 1, sum(1 for k, (_, e) in enumerate(spans) if k < at + 10 and e <= spans[at][0] + 25))
+            want.append((text[spans[at][0] : spans[stop - 1][1]][:25], spans[at][0]))
+            at = len(spans) if stop >= len(spans) else max(stop - 3, at + 1)
+        assert [(c["text"], c["start_offset"]) for c in r["c"]] == (want or [((text or "")[:600], 0)])

@@ -13,13 +13,14 @@ from collections.abc import Callable
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import in_blocks
+
 #: White space of any script, as a regular expression's class and as characters.
 SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
 SPACE_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -86,10 +87,7 @@ def _words(texts: pa.Array) -> pa.Array:
 
 def _in_blocks(texts: pa.Array, kinds: np.ndarray) -> pa.Array:
     """`_cut` for about `BLOCK` bytes at a time: a text's code points take many times its bytes."""
-    before = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
-    ends = [*np.searchsorted(before, np.arange(BLOCK, before[-1], BLOCK)).tolist(), len(texts)]
-    cuts = sorted({0, *ends})
-    parts = [_cut(texts.slice(x, y - x), kinds) for x, y in zip(cuts, cuts[1:], strict=False)]
+    parts = [_cut(part, kinds) for part in in_blocks(texts, BLOCK)]
     return pa.concat_arrays(parts) if parts else _cut(texts, kinds)
 
 
@@ -164,11 +162,10 @@ def bounded_windows(text: Column, words: int = 120, overlap: int = 30, chars: in
         sizes = range(len(piece), 0, -10)
         return piece[: next((n for n in sizes if n <= 10 or cost(piece[:n]) <= budget), 0)]
 
-    def windows_of(doc: str | None) -> list[dict]:
-        doc = doc or ""
+    def windows_of(doc: str) -> list[tuple[str, int]]:
         spans = np.array([m.span() for m in find(doc)], np.int64).reshape(-1, 2)
         if not len(spans):
-            return [{"text": doc[:blank], "start_offset": 0}]
+            return [(doc[:blank], 0)]
         begin, end = spans.T
         following = np.arange(1, len(spans) + 1)
         stop = np.maximum(reach(doc, begin, end), following)
@@ -177,11 +174,17 @@ def bounded_windows(text: Column, words: int = 120, overlap: int = 30, chars: in
         while at >= 0:
             firsts.append(at)
             at = int(onward[at])
-        return [{"text": fitted(doc[a:b]), "start_offset": int(a)} for a, b in zip(begin[firsts], end[stop[firsts] - 1], strict=True)]
+        return [(fitted(doc[a:b]), int(a)) for a, b in zip(begin[firsts], end[stop[firsts] - 1], strict=True)]
+
+    def chunks(texts: pa.Array) -> pa.Array:
+        found = [windows_of(doc or "") for doc in texts.to_pylist()]
+        sizes = np.cumsum([0, *map(len, found)])
+        cells = [pa.array([c[k] for one in found for c in one], t) for k, t in enumerate((pa.string(), pa.int32()))]
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(cells, ["text", "start_offset"]))
 
-    @F.pandas_udf(CHUNKS)
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(windows_of)
+    @F.arrow_udf(CHUNKS)
+    def run(x: pa.Array) -> pa.Array:
+        return pa.concat_arrays([chunks(part) for part in in_blocks(x, BLOCK)] or [chunks(x)])
 
     return run(text)
 

@@ -21,18 +21,23 @@ def word_errors(gold: Column, pred: Column) -> Column:
     words have characters; more raise an error.
     """
     words = lambda x: F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")
-    both = F.array_distinct(F.concat(words(gold), words(pred)))
-    place = lambda w: F.array_position(both, w)
+    # Words and their places are worked out once a pair, not for each word.
+    let = lambda value, f: F.transform(F.array(value), f)[0]
     # U+10000 onwards, in UTF-32: no code is a surrogate.
-    coded = lambda x: F.array_join(F.transform(words(x), lambda w: F.decode(F.unhex(F.lpad(F.hex(place(w) + 0x10000), 8, "0")), "UTF-32")), "")
-    most = F.raise_error(F.lit("over 90,000 distinct words in one pair"))
-    return F.when(F.size(both) > 90_000, most.cast("int")).otherwise(F.levenshtein(coded(gold), coded(pred)))
+    letter = lambda k: F.decode(F.unhex(F.lpad(F.hex(k + 0x10000), 8, "0")), "UTF-32")
+    coded = lambda x, both: F.array_join(F.transform(x, lambda w: letter(F.array_position(both, w))), "")
+    most = F.raise_error(F.lit("over 90,000 distinct words in one pair")).cast("int")
 
+    def errors(x: Column) -> Column:
+        return let(F.array_distinct(F.concat(x["g"], x["p"])), lambda both: F.when(F.size(both) > 90_000, most).otherwise(F.levenshtein(coded(x["g"], both), coded(x["p"], both))))
 
-def text_score(gold: Column, pred: Column) -> Column:
-    """One less the word error rate, 0 at least."""
+    return let(F.struct(words(gold).alias("g"), words(pred).alias("p")), errors)
+
+
+def text_score(gold: Column, pred: Column, errors: Column | None = None) -> Column:
+    """One less the word error rate, 0 at least; `errors` are the word errors where they are known."""
     n = F.size(F.filter(F.split(gold, r"(?U)\s+"), lambda w: w != ""))
-    return F.greatest(F.lit(0.0), 1 - word_errors(gold, pred) / F.greatest(n, F.lit(1)))
+    return F.greatest(F.lit(0.0), 1 - (word_errors(gold, pred) if errors is None else errors) / F.greatest(n, F.lit(1)))
 
 
 def jaccard(a: Column, b: Column, both_empty: float = 1.0) -> Column:

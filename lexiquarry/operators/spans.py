@@ -545,12 +545,16 @@ def restore_symptoms(entities: DataFrame) -> DataFrame:
 
 def version_diff(old: DataFrame, new: DataFrame, id: str = "doc_id") -> DataFrame:
     """(doc_id, text, type, change): entities that are new, missing or modified (candidates or place); the last of equal keys counts."""
-    last = Window.partitionBy(id, "text", "type").orderBy(F.col("ord").desc())
-
-    def kept(df: DataFrame, tag: str) -> DataFrame:
-        one = df.withColumn("_n", F.row_number().over(last)).where("_n = 1")
-        return one.select(id, "text", "type", F.struct("start", "end", "candidates").alias(tag))
-
-    both = kept(old, "old").join(kept(new, "new"), [id, "text", "type"], "full")
-    change = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "missing").when(~F.col("old").eqNullSafe(F.col("new")), "modified")
+    # Both are dealt out by document, and what follows stays there.
+    sides = [df.select(id, "ord", "start", "end", "text", "type", "candidates", F.lit(k).alias("side")).repartition(F.col(id)) for k, df in enumerate((old, new))]
+    return changes(sides[0].union(sides[1]), id)
+
+
+def changes(sides: DataFrame, id: str = "doc_id") -> DataFrame:
+    """`version_diff` of the entities of both versions in one table, with side 0 (old) or 1 (new); nothing is shuffled if it is dealt out by document."""
+    last = lambda k: F.max(F.when(F.col("side") == k, F.struct("ord", F.struct("start", "end", "candidates").alias("e"))))
+    # A null is equal to no other.
+    unlike = F.when(F.col(id).isNull() | F.col("text").isNull() | F.col("type").isNull(), F.col("side"))
+    both = sides.withColumn("_unlike", unlike).groupBy(id, "text", "type", "_unlike").agg(last(0).alias("old"), last(1).alias("new"))
+    change = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "missing").when(~F.col("old.e").eqNullSafe(F.col("new.e")), "modified")
     return both.select(id, "text", "type", change.alias("change")).where("change is not null")

@@ -141,7 +141,9 @@ def is_false_positive(x: Column) -> Column:
 
 def parse_entities(raw: Column) -> Column:
     """The entity array of a model's answer, without its code fence; empty where it can't be read."""
-    bare = F.regexp_replace(strip(raw), r"(?m)^```json\s*|```$", "")
+    # A long answer is only searched for a fence, and for space at its ends, where there is one.
+    trimmed = F.when(F.substring(raw, 1, 1).rlike(r"(?U)\s") | F.substring(raw, -1, 1).rlike(r"(?U)\s"), strip(raw)).otherwise(raw)
+    bare = F.when(F.contains(trimmed, F.lit("```")), F.regexp_replace(trimmed, r"(?m)^```json\s*|```$", "")).otherwise(trimmed)
     return F.coalesce(F.from_json(bare, ENTITY_JSON), F.array().cast(ENTITY_JSON))
 
 

@@ -13,7 +13,7 @@ def entity_json(docs: DataFrame, entities: DataFrame, id: str = "doc_id") -> Dat
         "ord",
         F.struct("text", F.array("start", "end").alias("position"), "type", F.coalesce("assertions", none).alias("assertions"), F.coalesce("candidates", none).alias("candidates")).alias("e"),
     )
-    lists = entities.groupBy(id).agg(F.array_sort(F.collect_list(one)).alias("es"))
+    lists = entities.groupBy(id).agg(F.sort_array(F.collect_list(one)).alias("es"))
     value: Column = F.coalesce(F.to_json(F.transform("es", lambda x: x["e"]), {"pretty": "false"}), F.lit("[]"))
     return docs.select(id).distinct().join(lists, id, "left").select(id, value.alias("json"))
 

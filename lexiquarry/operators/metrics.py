@@ -77,6 +77,12 @@ def span_scores(gold: DataFrame, pred: DataFrame, id: str = "doc_id") -> DataFra
     """(type, gold, pred, correct, precision, recall, f1) of exact spans by type, and over all as type "all"."""
     key = [id, "start", "end", "type"]
     sides = gold.select(*key, F.lit(1).alias("g"), F.lit(0).alias("p")).union(pred.select(*key, F.lit(0), F.lit(1)))
+    return scores_of_sides(sides, id)
+
+
+def scores_of_sides(sides: DataFrame, id: str = "doc_id") -> DataFrame:
+    """`span_scores` of rows (doc_id, start, end, type, g, p), where g and p are 1 if the span is gold, or predicted."""
+    key = [id, "start", "end", "type"]
     spans = sides.groupBy(*key).agg(F.max("g").alias("g"), F.max("p").alias("p"))
     counts = spans.rollup("type").agg(F.sum("g").alias("gold"), F.sum("p").alias("pred"), F.sum(F.col("g") * F.col("p")).alias("correct"))
     safe = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)

@@ -7,6 +7,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lexiquarry.functions import lexicon as L
 from lexiquarry.functions import text as X
 from lexiquarry.operators import linking, metrics, spans, tokens
 
@@ -137,3 +138,11 @@ def test_answers_with_and_without_fences_and_spaces(spark):
     old = F.coalesce(F.from_json(before, X.ENTITY_JSON), F.array().cast(X.ENTITY_JSON))
     got = df.select("i", X.parse_entities(F.col("s")).alias("new"), old.alias("old")).orderBy("i").collect()
     assert all(r["new"] == r["old"] for r in got) and [len(r["new"]) for r in got] == [1] * 6 + [0] * 4
+
+
+def test_type_override_settles_each_layer(spark):
+    names = lambda *n: spark.createDataFrame([(x, x.upper(), i) for i, x in enumerate(n)], "name string, code string, ord long")
+    asked = spark.createDataFrame([(x,) for x in ("Alphabetic", "alphabetik", "betablock", "betablok", "zzz", None)], "text string")
+    found = linking.override_type(asked, names("alphabetic"), names("betablock", "alphabetik"), 0.85, "edits")
+    assert {(r["q"], r["type"]) for r in found.collect()} == {("alphabetic", L.DIAGNOSIS), ("alphabetik", L.DIAGNOSIS), ("betablock", L.DRUG), ("betablok", L.DRUG)}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()

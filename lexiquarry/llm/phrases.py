@@ -1,7 +1,7 @@
 """Phrase collocation mining: exact n-gram counts by language, scored by their weakest cut.
 
-Texts are exploded to n-gram rows level by level, added up per block of text
-before Spark groups them. A word stands as a 64-bit key made of its language and
+Texts are cut to n-grams level by level, added up per block of text, dealt to
+buckets of the key space as packed arrays and added up there. A word stands as a 64-bit key made of its language and
 its bytes; the dictionary of all words proves that no two share a key, else the
 keys are made anew from another seed, so counts by key are counts by word. An
 n-gram can only be frequent if both of its parts of n - 1 words are: a Bloom
@@ -28,7 +28,9 @@ U = np.uint64
 BREAK = K.byte_class((0x0A, 0x0D), *((ord(c), ord(c)) for c in ".,;:!?"))
 GAP = BREAK | K.byte_class((0x20, 0x20), (0x09, 0x09))
 #: Bytes of text from which words are counted together, and n-grams that are counted together.
-TEXT_BLOCK, GRAM_BLOCK = 4 << 20, 1 << 19
+TEXT_BLOCK, GRAM_BLOCK = 4 << 20, 1 << 20
+#: Bytes of text for each bucket of keys, and the fewest buckets: a bucket is added up in one piece.
+BUCKET, FEWEST = 8 << 20, 24
 #: Seeds tried until all words have keys of their own.
 SEEDS = 8
 _STEP = U(0x9FB21C651E98DF25)
@@ -97,38 +99,79 @@ class _Pieces:
         return pa.RecordBatch.from_arrays([pa.array(key[own].view(np.int64)), names, word.cast(pa.string()), pa.array(n)], names=["key", "lang", "word", "n"])
 
 
-def _added(keys: list[np.ndarray]) -> pa.RecordBatch:
-    """(k1, ..., kn, n): equal runs of words added up."""
-    order = np.argsort(gram_key(keys))
+def _added(keys: list[np.ndarray], n: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Equal runs of words added up, sorted by their key: their words' keys and their counts (of `n`, or of rows)."""
+    whole = gram_key(keys)
+    order = np.argsort(whole)
+    whole = whole[order]
+    ties = np.flatnonzero(whole[1:] == whole[:-1])
     keys = [k[order] for k in keys]
+    if any((k[ties] != k[ties + 1]).any() for k in keys):
+        # Other runs share a key: equal ones must stand together.
+        again = np.lexsort((*keys[::-1], whole))
+        order, keys = order[again], [k[again] for k in keys]
     head = np.ones(len(order), bool)
     head[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
     at = np.flatnonzero(head)
-    n = np.diff(np.append(at, len(order)))
-    return pa.RecordBatch.from_arrays([*(pa.array(k[at].view(np.int64)) for k in keys), pa.array(n)], names=[*_names(len(keys)), "n"])
+    return [k[at] for k in keys], np.diff(np.append(at, len(order))).astype(U) if n is None else np.add.reduceat(n[order], at) if len(at) else np.zeros(0, U)
 
 
 def _names(n: int) -> list[str]:
     return [f"k{i + 1}" for i in range(n)]
 
 
-def _words(rows: DataFrame, seed: int, bits: int) -> DataFrame:
+_DEALT = "bucket int, data binary"
+
+
+def _cuts(keys: np.ndarray, buckets: int) -> list[int]:
+    """Where sorted 64-bit keys are parted to buckets of equal shares of the key space."""
+    step = (1 << 64) // buckets + 1
+    return [0, *np.searchsorted(keys, np.array([step * i for i in range(1, buckets)], U)).tolist(), len(keys)]
+
+
+def _dealt(cuts: list[int], data) -> pa.RecordBatch:
+    """A row for each bucket that has any; `data(a, b)` gives its bytes."""
+    some = [(i, data(a, b)) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+    return pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], names=["bucket", "data"])
+
+
+def _stream(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _words(rows: DataFrame, seed: int, bits: int, buckets: int) -> DataFrame:
+    """(key, lang, word, n), added up in a bucket of keys at a time: Spark shuffles packed blocks, not a row for each word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
             for block in K.blocks(batch, "text", TEXT_BLOCK):
-                yield _Pieces(block, seed, bits).counted()
+                found = _Pieces(block, seed, bits).counted()
+                cuts = _cuts(np.asarray(found.column("key")).view(U) << U(64 - bits), buckets)
+                yield _dealt(cuts, lambda a, b, found=found: _stream(found.slice(a, b - a)))
 
-    return rows.mapInArrow(run, "key long, lang string, word string, n long").groupBy("key", "lang", "word").agg(F.sum("n").alias("n"))
+    def added(table: pa.Table) -> pa.Table:
+        every = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("data")])
+        return every.group_by(["key", "lang", "word"], use_threads=False).aggregate([("n", "sum")]).select(["key", "lang", "word", "n_sum"]).rename_columns(["key", "lang", "word", "n"])
 
+    return rows.mapInArrow(run, _DEALT).groupBy("bucket").applyInArrow(added, "key long, lang string, word string, n long")
 
-def _grams(rows: DataFrame, n: int, seed: int, bits: int, sieve) -> DataFrame:
-    """(k1, ..., kn, n): rows of n-grams whose two parts of n - 1 words the filter knows, to be added up."""
+
+def _grams(rows: DataFrame, n: int, least: int, seed: int, bits: int, sieve, buckets: int) -> DataFrame:
+    """(k1, ..., kn, n): n-grams that occur `least` times, of those whose two parts of n - 1 words the filter knows; added up as words are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         flags = sieve.value
         held: list[list[np.ndarray]] = []
+
+        def packed() -> pa.RecordBatch:
+            keys, count = _added([np.concatenate(x) for x in zip(*held, strict=True)])
+            return _dealt(_cuts(gram_key(keys), buckets), lambda a, b: b"".join([*(k[a:b].tobytes() for k in keys), count[a:b].tobytes()]))
+
         for batch in batches:
             for block in K.blocks(batch, "text"):
                 keys = _Pieces(block, seed, bits).grams(n)
@@ -140,13 +183,20 @@ def _grams(rows: DataFrame, n: int, seed: int, bits: int, sieve) -> DataFrame:
                     keys = [k[at] for k in keys]
                 held.append(keys)
                 if sum(len(x[0]) for x in held) >= GRAM_BLOCK:
-                    yield _added([np.concatenate(x) for x in zip(*held, strict=True)])
-                    held = []
+                    yield packed()
+                    held.clear()
         if held:
-            yield _added([np.concatenate(x) for x in zip(*held, strict=True)])
+            yield packed()
+
+    def added(table: pa.Table) -> pa.Table:
+        np.seterr(over="ignore")
+        parts = [np.frombuffer(x.as_buffer(), U).reshape(n + 1, -1) for x in table.column("data")]
+        keys, count = _added([np.concatenate([x[i] for x in parts]) for i in range(n)], np.concatenate([x[n] for x in parts]))
+        some = np.flatnonzero(count >= least)
+        return pa.table([*(pa.array(k[some].view(np.int64)) for k in keys), pa.array(count[some].view(np.int64))], names=[*names, "n"])
 
     names = _names(n)
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"])).groupBy(*names).agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, _DEALT).groupBy("bucket").applyInArrow(added, ", ".join(f"{c} long" for c in [*names, "n"]))
 
 
 def _with_key(table: DataFrame, n: int) -> DataFrame:
@@ -162,8 +212,10 @@ def _with_key(table: DataFrame, n: int) -> DataFrame:
 def counts(docs: DataFrame, store: Store, max_n: int = 3, least: int = 10, bits: int = 64) -> tuple[DataFrame, list[DataFrame]]:
     """All words (key, lang, word, n), and for each length up to `max_n` the table (k1, ..., n) of phrases that occur `least` times or more."""
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(FEWEST, -(-size // BUCKET))
     for seed in range(SEEDS):
-        words = store.table(_words(rows, seed, bits), "words")
+        words = store.table(_words(rows, seed, bits, buckets), "words")
         if words.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
             break
         store.drop(words)
@@ -173,7 +225,7 @@ def counts(docs: DataFrame, store: Store, max_n: int = 3, least: int = 10, bits:
     for n in range(2, max_n + 1):
         known = levels[-1]
         sieve = docs.sparkSession.sparkContext.broadcast(_bloom(_with_key(known, n - 1), max(known.count(), 1)))
-        levels.append(store.table(_grams(rows, n, seed, bits, sieve).where(F.col("n") >= least), f"grams{n}"))
+        levels.append(store.table(_grams(rows, n, least, seed, bits, sieve, buckets), f"grams{n}"))
         sieve.destroy()
     return words, levels
 

@@ -71,3 +71,20 @@ def test_words_that_share_a_key_get_new_ones(spark):
 
 def test_nothing(spark):
     assert mined(spark, []) == [] == mined(spark, [(None, None), ("en", "")])
+
+
+def test_no_row_for_each_gram_is_shuffled(spark):
+    docs = spark.createDataFrame([("en", " ".join(f"w{i}" for i in range(5000)))], "lang string, text string")
+    rows = phrases._words(docs, 0, 64, 7)
+    assert rows.count() == 5000 and "bucket" in rows._jdf.queryExecution().executedPlan().toString()
+    batches = phrases._dealt(phrases._cuts(phrases.np.arange(0, 1 << 63, 1 << 60, dtype="uint64"), 3), lambda a, b: bytes([a, b]))
+    assert batches.to_pylist() == [{"bucket": 0, "data": bytes([0, 6])}, {"bucket": 1, "data": bytes([6, 8])}]
+
+
+def test_runs_that_share_a_key_are_told_apart(monkeypatch):
+    u = lambda *x: phrases.np.array(x, "uint64")
+    monkeypatch.setattr(phrases, "gram_key", lambda keys: keys[0] & phrases.U(1))
+    keys, n = phrases._added([u(1, 3, 1, 2, 3), u(7, 7, 7, 7, 7)])
+    assert sorted(zip(*(k.tolist() for k in keys), n.tolist(), strict=True)) == [(1, 7, 2), (2, 7, 1), (3, 7, 2)]
+    keys, n = phrases._added(keys, n)
+    assert sorted(zip(*(k.tolist() for k in keys), n.tolist(), strict=True)) == [(1, 7, 2), (2, 7, 1), (3, 7, 2)]

@@ -210,7 +210,8 @@ def packed(entities: DataFrame, docs: DataFrame, id: str = "doc_id") -> DataFram
     """
     passage = F.floor(F.coalesce(F.col("start"), F.lit(0)) / PASSAGE)
     lists = entities.repartition(F.col(id)).groupBy(F.col(id).alias("key"), passage.alias("passage")).agg(F.collect_list(F.struct(*entities.columns)).alias("mention"))
-    return lists.join(docs.select(F.col(id).alias("key"), F.col("text").alias("doc")), "key").drop("passage")
+    # Texts never go through the driver, however small Spark takes them to be.
+    return lists.join(docs.select(F.col(id).alias("key"), F.col("text").alias("doc")).hint("merge"), "key").drop("passage")
 
 
 def _slice(doc: str, start: int | None, end: int | None) -> str | None:

@@ -117,3 +117,19 @@ def test_substrings_by_few_anchors(spark, monkeypatch):
         assert {(r["s"], r["b"]) for r in found.collect()} == want
         if bound > 3:  # the other grams of the long strings are no rows of a join
             assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_context_of_lists_equals_that_of_rows(spark, monkeypatch):
+    from lexiquarry.operators import assertions
+
+    monkeypatch.setattr(assertions, "HELD", 9)
+    for seed in range(2):
+        texts, rows = random_rows(seed)
+        texts = [t and t.replace("b", ".") for t in texts]
+        d, e = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(rows, E)
+        found = assertions.with_context(e, d, 7, 3)
+        left, right = assertions.context(F.col("doc"), F.col("start"), F.col("end"), 7, 3)
+        want = e.join(d.withColumnRenamed("text", "doc"), "doc_id").select("doc_id", "ord", left, right)
+        assert sorted(map(tuple, found.select("doc_id", "ord", "_left", "_right").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+        # No text goes through the driver, though both tables are small.
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

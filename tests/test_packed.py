@@ -133,3 +133,17 @@ def test_context_of_lists_equals_that_of_rows(spark, monkeypatch):
         assert sorted(map(tuple, found.select("doc_id", "ord", "_left", "_right").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
         # No text goes through the driver, though both tables are small.
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tag_numbers_of_many_documents_equal_those_of_one(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    monkeypatch.setattr(bio, "PAIRS_HELD", 5)
+    documents = []
+    for _ in range(60):
+        spans_ = sorted({(s, s + rng.randint(1, 3)) for s in (rng.randint(0, 20) for _ in range(rng.randint(0, 9)))})
+        documents.append((spans_, [(rng.randint(0, 4), s := rng.randint(-3, 20), s + rng.randint(1, 9), rng.choice(bio._KINDS)) for _ in range(rng.randint(0, 7))]))
+    columns = [[[x[0] for x in s] for s, _ in documents], [[x[1] for x in s] for s, _ in documents], *([[x[k] for x in e] for _, e in documents] for k in range(3)), [[bio._KINDS.index(x[3]) for x in e] for _, e in documents]]
+    got = bio.tag_numbers(*(pa.array(c, pa.list_(pa.int64())) for c in columns)).to_pylist()
+    assert [[bio._NAMES[k] for k in row] for row in got] == [bio.tags([x[0] for x in s], [x[1] for x in s], e) for s, e in documents]

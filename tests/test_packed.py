@@ -147,3 +147,22 @@ def test_tag_numbers_of_many_documents_equal_those_of_one(monkeypatch):
     columns = [[[x[0] for x in s] for s, _ in documents], [[x[1] for x in s] for s, _ in documents], *([[x[k] for x in e] for _, e in documents] for k in range(3)), [[bio._KINDS.index(x[3]) for x in e] for _, e in documents]]
     got = bio.tag_numbers(*(pa.array(c, pa.list_(pa.int64())) for c in columns)).to_pylist()
     assert [[bio._NAMES[k] for k in row] for row in got] == [bio.tags([x[0] for x in s], [x[1] for x in s], e) for s, e in documents]
+
+
+def test_lists_of_tags_equal_rows_of_tags(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab ") for _ in range(rng.randint(0, 60))) for _ in range(20)] + [None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = F.array(*map(F.lit, ("O", "B-x", "I-x", "I-y", "z", None)))
+    tag = lambda word, i: F.get(names, F.pmod(F.xxhash64(word, i), F.lit(6)).cast("int"))
+    prob = lambda word: F.length(word) / 4.0
+    end = lambda word, e: F.when(word != "ab", e)
+    lists = tokens.token_lists(d).select("doc_id", F.transform("t", lambda x, i: F.struct(x["word"].alias("word"), tag(x["word"], i).alias("tag"), prob(x["word"]).alias("prob"), x["start"].alias("start"), end(x["word"], x["end"]).alias("end"))).alias("t"))
+    rows = lists.select("doc_id", F.posexplode("t").alias("ord", "x")).select("doc_id", "ord", "x.*")
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count() > 5
+    columns = "doc_id", "type", "first", "last", "n"
+    for threshold, strict in ((None, False), (0.5, False), (None, True)):
+        found = bio.decode_lists(lists, threshold=threshold, strict=strict)
+        assert exchanges(found) == 0 and same(found.select(*columns), bio.decode(rows, ["doc_id"], "ord", threshold, strict).select(*columns))
+    found = bio.group_lists(lists)
+    assert exchanges(found) == 0 and same(found, bio.simple_groups(rows))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import difflib
 import unicodedata
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -446,13 +446,24 @@ def paired(a: DataFrame, b: DataFrame, least: float, id: str = "doc_id") -> Data
         one = F.struct("ord", "start", "end", "text", "type", *(F.coalesce(c, none).alias(c) for c in ("assertions", "candidates")))
         return with_lists(df).repartition(F.col(id)).groupBy(id).agg(F.array_sort(F.collect_list(one)).alias(name))
 
-    both = lists(a, "_a").join(lists(b, "_b"), id, "full")
+    return paired_lists(lists(a, "_a").join(lists(b, "_b"), id, "full"), least, id)
+
+
+def paired_lists(both: DataFrame, least: float, id: str = "doc_id") -> DataFrame:
+    """`paired` of documents (doc_id, _a, _b) with the sorted lists of their entities; nothing is shuffled. Without an id none pair up."""
+    met, every = _met(both, least, id)
+    return met.select(id, F.explode(every).alias("r")).select(id, "r.x", "r.y", "r.a", "r.b")
+
+
+def _met(both: DataFrame, least: float, id: str) -> tuple[DataFrame, Column]:
+    """Documents, and the list of structs (x, y, a, b) that `paired_lists` explodes."""
+    share = F.when(F.col(id).isNotNull(), F.lit(float(least))).otherwise(2.0)
     spot = lambda side: [F.col(f"{side}.{c}").cast(t) for c, t in (("start", "array<bigint>"), ("end", "array<bigint>"), ("type", "array<string>"))]
-    met = both.select(id, "_a", "_b", _greedy(*spot("_a"), *spot("_b"), F.lit(float(least))).alias("m")).select(id, "_a", "_b", "m.partner", "m.free")
+    met = both.select(id, "_a", "_b", _greedy(*spot("_a"), *spot("_b"), share).alias("m")).select(id, "_a", "_b", "m.partner", "m.free")
     left = F.transform(F.arrays_zip("_a", "partner"), lambda p, i: F.struct(i.alias("x"), p["partner"].alias("y"), p["_a"].alias("a"), F.get(F.col("_b"), p["partner"]).alias("b")))
     alone = F.transform("free", lambda y: F.struct(F.lit(None).cast("int").alias("x"), y.alias("y"), F.get(F.col("_a"), F.lit(None).cast("int")).alias("a"), F.get(F.col("_b"), y).alias("b")))
     every = F.when(F.col("_a").isNull(), alone).otherwise(F.concat(left, alone))
-    return met.select(id, F.explode(every).alias("r")).select(id, "r.x", "r.y", "r.a", "r.b")
+    return met, every
 
 
 def merge(a: DataFrame, b: DataFrame, least: float = 0.5, reset_b: bool = False, id: str = "doc_id") -> DataFrame:
@@ -463,23 +474,35 @@ def merge(a: DataFrame, b: DataFrame, least: float = 0.5, reset_b: bool = False,
     `reset_b` without assertions and candidates); the list is sorted by start,
     ties in that order.
     """
-    none = F.array().cast("array<string>")
-    both = paired(a, b, least, id)
-    pair, only_a = F.col("a").isNotNull() & F.col("b").isNotNull(), F.col("b").isNull()
+    return _merged(paired(a, b, least, id), reset_b, id)
+
+
+def merge_lists(both: DataFrame, least: float = 0.5, reset_b: bool = False, id: str = "doc_id") -> DataFrame:
+    """`merge` of documents (doc_id, _a, _b) with the sorted lists of their entities; they are put in order there, and nothing is shuffled."""
+    met, every = _met(both, least, id)
+    rows = F.array_sort(F.transform(every, lambda r: F.struct(*_fields(r.getItem, reset_b))))
+    return met.select(id, F.posexplode(rows).alias("ord", "r")).select(id, F.col("ord").cast("long").alias("ord"), *(f"r.{c}" for c in FIELDS), "r.origin")
+
+
+def _fields(r: Callable[[str], Column], reset_b: bool) -> list[Column]:
+    """A merged entity of a pair (x, y, a, b), its order (start, _phase, _rank) first."""
+    none, a, b = F.array().cast("array<string>"), r("a"), r("b")
+    pair, only_a = a.isNotNull() & b.isNotNull(), b.isNull()
 
     def field(c: str) -> Column:
-        own = F.col(f"b.{c}")
         if c in ("assertions", "candidates"):
-            return F.when(F.col("a").isNotNull(), F.col(f"a.{c}")).otherwise(none if reset_b else own)
-        return F.when(only_a, F.col(f"a.{c}")).otherwise(own)
-
-    rows = both.select(
-        id, *(field(c).alias(c) for c in FIELDS),
-        F.when(pair, "both").when(only_a, "a").otherwise("b").alias("origin"),
-        F.when(pair, 0).when(only_a, 1).otherwise(2).alias("_phase"), F.coalesce("x", "y").alias("_rank"),
-    )
+            return F.when(a.isNotNull(), a[c]).otherwise(none if reset_b else b[c])
+        return F.when(only_a, a[c]).otherwise(b[c])
+
+    return [
+        field("start").alias("start"), F.when(pair, 0).when(only_a, 1).otherwise(2).alias("_phase"), F.coalesce(r("x"), r("y")).alias("_rank"),
+        *(field(c).alias(c) for c in FIELDS[1:]), F.when(pair, "both").when(only_a, "a").otherwise("b").alias("origin"),
+    ]
+
+
+def _merged(both: DataFrame, reset_b: bool, id: str) -> DataFrame:
     order = F.row_number().over(Window.partitionBy(id).orderBy("start", "_phase", "_rank")).cast("long") - 1
-    return rows.select(id, order.alias("ord"), *FIELDS, "origin")
+    return both.select(id, *_fields(F.col, reset_b)).select(id, order.alias("ord"), *FIELDS, "origin")
 
 
 def dedup_by_priority(entities: DataFrame, id: str = "doc_id") -> DataFrame:

@@ -166,3 +166,17 @@ def test_lists_of_tags_equal_rows_of_tags(spark):
         assert exchanges(found) == 0 and same(found.select(*columns), bio.decode(rows, ["doc_id"], "ord", threshold, strict).select(*columns))
     found = bio.group_lists(lists)
     assert exchanges(found) == 0 and same(found, bio.simple_groups(rows))
+
+
+def test_merge_of_lists_equals_that_of_rows(spark):
+    _, rows = random_rows(9)
+    rows = sorted({(None if r[0] == 1 else r[0], *r[1:]) for r in rows}, key=str)
+    a, b = (spark.createDataFrame([r for r in rows if r[1] % 2 == k], E) for k in (0, 1))
+    fields = "ord", "start", "end", "text", "type"
+    none = F.array().cast("array<string>")
+    both = a.withColumn("side", F.lit(0)).union(b.withColumn("side", F.lit(1))).repartition(3, "doc_id").groupBy("doc_id")
+    one = F.struct(*fields, none.alias("assertions"), none.alias("candidates"))
+    both = both.agg(*(F.array_sort(F.collect_list(F.when(F.col("side") == k, one))).alias(n) for k, n in enumerate(("_a", "_b"))))
+    found = spans.merge_lists(both)
+    assert sorted(map(str, found.collect())) == sorted(map(str, spans.merge(a, b).collect()))
+    assert exchanges(found) == exchanges(both)

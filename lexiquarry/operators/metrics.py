@@ -55,7 +55,11 @@ def component_scores(gold: DataFrame, pred: DataFrame, denominator: str = "union
     means over pairs. Assertions count for symptoms, diagnoses and drugs,
     candidates for diagnoses and drugs.
     """
-    rows = pairs(gold, pred, least, id)
+    return scores_of_pairs(pairs(gold, pred, least, id), denominator, both_empty)
+
+
+def scores_of_pairs(rows: DataFrame, denominator: str = "union", both_empty: float = 1.0) -> DataFrame:
+    """`component_scores` of rows (gold, pred)."""
     if denominator == "matched":
         rows = rows.where("gold is not null and pred is not null")
     matched = F.col("gold").isNotNull() & F.col("pred").isNotNull()
